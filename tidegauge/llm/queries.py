@@ -20,7 +20,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.simhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_simhash": op3_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
