@@ -20,6 +20,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.secrets import secrets_digest
+
+    return secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.simhash import classes
 
@@ -27,6 +33,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
     "op10_toxicity": op10_toxicity,
 }
