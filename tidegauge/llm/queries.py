@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm import warc
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.toxicity import score_toxicity
 
@@ -35,7 +53,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
+    "op6_topk": op6_topk,
+    "op7_embeddings": op7_embeddings,
+    "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
+}
