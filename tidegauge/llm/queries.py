@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.topk import top_k
 
@@ -53,6 +59,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op3_simhash": op3_simhash,
+    "op5_bpe": op5_bpe,
     "op6_topk": op6_topk,
     "op7_embeddings": op7_embeddings,
     "op8_warc": op8_warc,
