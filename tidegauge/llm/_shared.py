@@ -44,6 +44,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def masked(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with all but the needed columns under names that no operator uses; ``toDF`` undoes it."""
+    return df.toDF(*[c if c in needed else f"__column{i}" for i, c in enumerate(df.columns)])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

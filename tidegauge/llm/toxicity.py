@@ -9,7 +9,7 @@ the word. A text's score is its evidence per word, put on the scale 0 to 1 by a
 fitted on labelled rows that the counts have not seen.
 
 Counting and smoothing are Spark aggregations over all labelled rows. What the scoring tasks
-get is two tables of ``2 ** bits`` floats, whatever the size of the corpus, so broadcasting
+get is two tables of at most ``2 ** bits`` half floats, whatever the size of the corpus, so broadcasting
 them is bounded.
 
 Defined cases: null and empty texts, and texts without letters, have no evidence;
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm._shared import durable, without
+from tidegauge.llm._shared import durable, masked, without
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -38,7 +38,8 @@ MARGIN = 2.0  # nats
 PIECE_CHARS = 2_000_000
 _GAP = re.compile(r"[\W\d_]+")
 _PAD = "\0" * (ORDER - 1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _ROOM = 65_599, (1 << 40) - 1
+SLOTS = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,13 +53,21 @@ def _letters(text: str | None) -> str:
 
 def _hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ORDER letters that end at each position, and of the ORDER - 1 before it."""
-    x = codes.astype(np.uint64)
+    x = codes.astype(np.int64)
     n = len(x) - ORDER + 1
-    h = np.zeros(n, np.uint64)
+    h = np.zeros(n, np.int64)
     for k in range(ORDER - 1):
-        h = h * _MIX + x[k : k + n] + np.uint64(1)
-    full = h * _MIX + x[ORDER - 1 :] + np.uint64(1)
-    return full ^ (full >> np.uint64(29)), h ^ (h >> np.uint64(31))
+        h = (h * _FACTOR + x[k : k + n]) & _ROOM
+    full = (h * _FACTOR + x[ORDER - 1 :]) & _ROOM
+    return full ^ (full >> 17), h ^ (h >> 17)
+
+
+def _hash_of(gram: str, n: int) -> Column:
+    """The same hash of the first ``n`` letters of a column."""
+    h = F.lit(0).cast("long")
+    for k in range(n):
+        h = (h * _FACTOR + F.ascii(F.substring(gram, k + 1, 1))).bitwiseAND(F.lit(_ROOM))
+    return h.bitwiseXOR(F.shiftright(h, 17))
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, str, list[int]]]:
@@ -86,16 +95,14 @@ def _count_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for label in (0, 1):
             for _, letters, _ in _pieces([t for t, y in zip(texts, toxic) if y == label]):
                 codes = _codes(letters)
-                full, context = _hashes(codes)
+                full, _ = _hashes(codes)
                 real = np.flatnonzero((codes[ORDER - 1 :] != 0) | (codes[ORDER - 2 : -1] != 0))
-                seen, at, n = np.unique(full[real], return_index=True, return_counts=True)
+                _, at, n = np.unique(full[real], return_index=True, return_counts=True)
                 at = real[at]
                 zero = np.zeros(len(n), np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "gram": pa.array([letters[i : i + ORDER] for i in at], pa.string()),
-                        "h": pa.array(seen.view(np.int64)),
-                        "hc": pa.array(context[at].view(np.int64)),
                         "ordinary": pa.array(zero if label else n),
                         "toxic": pa.array(n if label else zero),
                     }
@@ -122,21 +129,21 @@ def _backoff(grams: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Two tables of log-likelihood differences, and the logistic curve over the evidence per word."""
+    """Two tables of log-likelihood differences: of sequences, and by context of those not seen after it."""
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray, slope: float = 1.0, offset: float = 0.0):
-        self.seen, self.unseen, self.slope, self.offset = seen, unseen, slope, offset
+    def __init__(self, seen: np.ndarray, unseen: np.ndarray):
+        self.seen, self.unseen = seen, unseen
 
     def means(self, texts: list[str | None]) -> np.ndarray:
         """Logarithm of the evidence per word of each text."""
         out = np.zeros(len(texts))
-        mask = np.uint64(len(self.seen) - 1)
+        seen_mask, unseen_mask = len(self.seen) - 1, len(self.unseen) - 1
         for first, letters, ends in _pieces(texts):
             codes = _codes(letters)
             full, context = _hashes(codes)
-            value = self.seen[(full & mask).astype(np.int64)]
+            value = self.seen[full & seen_mask].astype(np.float32)
             blank = np.isnan(value)
-            value[blank] = self.unseen[(context[blank] & mask).astype(np.int64)]
+            value[blank] = self.unseen[context[blank] & unseen_mask]
             last = codes[ORDER - 1 :] == 0
             before = codes[ORDER - 2 : -1] == 0
             value[last & before] = 0
@@ -153,8 +160,8 @@ def _table(rows: DataFrame, bits: int, empty: float) -> np.ndarray:
     """At most ``2 ** bits`` rows come to the driver; sequences that share a place are averaged."""
     place = F.col("h").bitwiseAND((1 << bits) - 1).cast("int").alias("place")
     found = rows.groupBy(place).agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).cast("float").alias("llr")).toArrow()
-    table = np.full(1 << bits, empty, np.float32)
-    table[found.column("place").to_numpy()] = found.column("llr").to_numpy()
+    table = np.full(1 << bits, empty, np.float16)
+    table[found.column("place").to_numpy()] = found.column("llr").to_numpy().astype(np.float16)
     return table
 
 
@@ -175,16 +182,26 @@ def _fit_curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 22) -> Model | None:
-    """Learn from the labelled rows that are not held out; one in five of them sets the curve."""
+def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` with their mark. Texts that cannot have one stay out of the shuffle: at most SLOTS hashes of marked ids are broadcast."""
+    slot = F.crc32(F.col("doc_id").cast("string")).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    near = docs.withColumn("slot", slot).join(F.broadcast(marks.select(slot.alias("slot")).distinct()), "slot", "left_semi")
+    return near.drop("slot").join(marks.hint("merge"), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 22):
+    """``(broadcast Model, slope, offset)`` learned from labelled rows that are not held out, or None.
+
+    One in five of these rows sets the curve, and the others are counted.
+    """
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    known = docs.select("doc_id", "text").join(marks, "doc_id")
+    known = _labelled(docs.select("doc_id", "text"), marks)
     for_curve = F.floor(F.crc32(F.col("doc_id").cast("string")) / 3) % 5 == 0
-    schema = "gram string, h long, hc long, ordinary long, toxic long"
-    raw = known.where(~for_curve).select("text", "toxic").mapInArrow(_count_sequences, schema)
-    grams = durable(raw.groupBy("gram", "h", "hc").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    raw = known.where(~for_curve).select("text", "toxic").mapInArrow(_count_sequences, "gram string, ordinary long, toxic long")
+    grams = raw.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    grams = durable(grams.select("*", _hash_of("gram", ORDER).alias("h"), _hash_of("gram", ORDER - 1).alias("hc")))
     have = grams.agg(F.sum("ordinary"), F.sum("toxic")).first()
     if not have[0] or not have[1]:
         return None
@@ -205,16 +222,15 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 22) -> Model | None:
         .select("h", (F.col("ordinary") + F.col("toxic")).alias("n"), F.log(p("t", "toxic") / p("o", "ordinary")).alias("llr"))
     )
     unseen = contexts.select(F.col("hc").alias("h"), (F.col("total_o") + F.col("total_t")).alias("n"), F.log(rest("t") / rest("o")).alias("llr"))
-    model = Model(_table(seen, bits, math.nan), _table(unseen, bits, 0.0))
+    model = Model(_table(seen, bits, math.nan), _table(unseen, bits - 1, 0.0))
+    shared = spark.sparkContext.broadcast(model)
     binned = (
-        apply_means(known.where(for_curve), spark.sparkContext.broadcast(model))
+        apply_means(known.where(for_curve), shared)
         .groupBy(F.round(F.least(F.greatest("evidence", F.lit(-10.0)), F.lit(10.0)), 3).alias("x"))
         .agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") != 0).alias("t"))
     )
     points = [(r.x, r.o, r.t) for r in binned.collect()]  # at most 20,001 bins
-    if points:
-        model.slope, model.offset = _fit_curve(points)
-    return model
+    return shared, *(_fit_curve(points) if points else (1.0, 0.0))
 
 
 def apply_means(docs: DataFrame, model) -> DataFrame:
@@ -236,12 +252,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     out = docs.withColumn("held_out", held_out(F.col("doc_id")))
     if model is None:
         return out.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    scored = apply_means(out, docs.sparkSession.sparkContext.broadcast(model))
-    score = 1.0 / (1.0 + F.exp(-(F.col("evidence") * model.slope + model.offset)))
+    shared, slope, offset = model
+    scored = apply_means(out, shared)
+    score = 1.0 / (1.0 + F.exp(-(F.col("evidence") * slope + offset)))
     return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, with the columns they came with."""
-    names = docs.columns
-    return score_toxicity(docs, labels, threshold).where("predicted = 0").select(*[F.col(f"`{c}`") for c in names])
+    hidden = masked(docs, "doc_id", "text")
+    kept = score_toxicity(hidden, labels, threshold).where("predicted = 0")
+    return kept.select(*hidden.columns).toDF(*docs.columns)
