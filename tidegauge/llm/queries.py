@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.mixing import document_rates
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return document_rates(docs.select("doc_id", "text"), labels)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.bpe import encode_documents
 
@@ -37,6 +44,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.lines import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.toxicity import score_toxicity
 
@@ -50,6 +63,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.substrings import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.simhash import classes
 
@@ -58,11 +77,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
+    "op2_substrings": op2_substrings,
     "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_topk": op6_topk,
     "op7_embeddings": op7_embeddings,
     "op8_warc": op8_warc,
+    "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
 }
 
