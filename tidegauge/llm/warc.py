@@ -26,16 +26,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm._shared import durable_table, shared_folder
 
 LEAST_REVISIT = 1000
-SHARD_BYTES = 256 << 20  # of payload
+SHARD_BYTES = 128 << 20  # of payload
 FILE_BYTES = 64 << 20  # compressed
 PLACES = 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -119,6 +121,18 @@ def _shard_starts(pages: DataFrame) -> list[int]:
     return starts
 
 
+def _shard_of(spark: SparkSession, starts: list[int]):
+    """The shard of a page_id by binary search; one number per shard is broadcast, and null is in the first."""
+    shared = spark.sparkContext.broadcast(np.array(starts, np.int64))
+
+    @F.pandas_udf("int")
+    def found(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(shared.value, ids.fillna(shared.value[0]).to_numpy(np.int64), side="right") - 1
+        return pd.Series(at.astype(np.int32))
+
+    return found
+
+
 def _writer(folder: str, attempt_space: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
@@ -182,10 +196,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     keys = durable_table(keys, "warc-keys")
     groups = keys.where(f"n_bytes >= {LEAST_REVISIT} and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     starts = _shard_starts(keys)
-    shard = F.lit(0)
-    if starts:
-        found = F.array_size(F.filter(F.array(*[F.lit(x).cast("long") for x in starts]), lambda x: x <= F.col("page_id")))
-        shard = F.coalesce(found - 1, F.lit(0))
+    shard = _shard_of(pages.sparkSession, starts)(F.col("page_id")) if len(starts) > 1 else F.lit(0)
     # One shuffle brings each page and what it refers to together: a note on (page_id, digest) is sorted in before the page.
     notes = keys.join(groups, "digest").where("page_id is not null").select("page_id", "digest", "refers_to").distinct()
     records = rows.withColumn("digest", F.sha1("payload")).withColumn("note", F.lit(1)).withColumn("refers_to", F.lit(None).cast("long"))
