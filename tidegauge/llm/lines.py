@@ -4,15 +4,19 @@ A line's tokens are its distinct words. Two lines match if the Jaccard similarit
 is at least 4/5, and a line goes if it matches one that stands earlier, by (doc_id, line number).
 
 Equal lines are one first, which stands where they occur first. Tokens are ordered by rarity: by
-the order of magnitude of how often they occur in all lines (counted over hash slots, a fixed
+the order of magnitude of how often they occur in all texts (counted over hash slots, a fixed
 number), then by hash. Any such order is right; rare tokens first keep the lists short. A line of
 n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match share one of them.
 
-In each list, a line is first compared with the list's earliest line. Where copies vary, that
-finds nearly all, in one comparison per line. Only lines not yet settled are then compared with
-everything earlier in their lists, so a group of copies never becomes all of its pairs. The filters
-on length and position come before the tokens are looked up, and the similarity is computed
-on the tokens themselves.
+In each list, a line is first compared with the list's earliest line, its head. Where copies vary,
+that finds nearly all, in one comparison per line. Compared with everything earlier in their lists
+are only lines that cannot match a head, and those that the comparison with the heads did not
+settle, so a group of copies never becomes all of its pairs. Filters come before texts are looked
+up: length, position in the list, and the parity of tokens over 64 hash slots (a bit that differs
+is a token that differs). The similarity is computed on the tokens themselves.
+
+Texts are dealt by doc_id once; whatever needs them reads that same exchange, and lists carry
+numbers only.
 
 Defined cases: null text stays null; lines without words never go; rows without doc_id take no
 part and stay as they are; rows that share a doc_id are read as one document, of which lines
@@ -24,94 +28,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import durable, durable_table, masked
+from tidegauge.llm._shared import durable, masked
 
-SLOTS = 1 << 16
+SLOT_BITS = 18
+LINE = ["doc_id", "line_no"]
 
 
 def words_of(line: str) -> Column:
-    """Distinct words of a line, as hashes."""
-    words = F.filter(F.split(line, r"[ \t\r]+"), lambda x: x != "")
-    return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
+    """Words of a line that has any; some may repeat."""
+    return F.split(F.trim(F.translate(line, "\t\r", "  ")), " +")
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
-def _lines(docs: DataFrame) -> DataFrame:
+
+def _lines(texts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line)`` of all lines with words."""
-    parts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return parts.where(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
+
+
+def _copies(lines: DataFrame) -> DataFrame:
+    """``(doc_id, line_no)`` of lines equal to an earlier one, found by 128 bits of hash."""
+    hashed = lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return hashed.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or line_no <> first.line_no").select(*LINE)
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
 
 
-def _magnitudes(lines: DataFrame) -> DataFrame:
-    """One row, one array: for each slot, the order of magnitude of its tokens' number of lines."""
-    tokens = lines.select(F.explode(words_of("line")).alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    size = F.coalesce(F.floor(F.log2("n")).cast("long") + 1, F.lit(0).cast("long"))
-    filled = every.join(tokens, "slot", "left").select("slot", size.alias("size"))
+def _rarity(texts: DataFrame) -> DataFrame:
+    """One row, one array: for each slot, the order of magnitude of how often its tokens occur."""
+    words = texts.select(F.explode(F.split("text", "[ \t\r\n]+")).alias("w"))
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
+    every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"))
+    size = F.coalesce(F.floor(F.log2("n")) + 1, F.lit(0)).cast("tinyint")
+    filled = every.join(counts, "slot", "left").select("slot", size.alias("size"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
-def _ordered_tokens(lines: DataFrame, magnitudes: DataFrame) -> DataFrame:
-    """``lines`` with ``tokens``: rarest first, as numbers that sort so."""
+def _tokens(lines: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, tokens)``: numbers that sort rarest first. The array of sizes is a scalar, not a column of each row."""
+    hashes = lines.withColumn("hashes", F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w))))
 
     def key(h: Column) -> Column:
-        size = F.coalesce(F.get(F.col("sizes"), F.pmod(h, F.lit(SLOTS)).cast("int")), F.lit(0).cast("long"))
-        return F.shiftleft(size, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return F.shiftleft(F.get(F.col("sizes"), _slot(h)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return lines.crossJoin(F.broadcast(magnitudes)).withColumn("tokens", F.sort_array(F.transform(words_of("line"), key))).drop("sizes")
+    return hashes.withColumn("sizes", rarity.scalar()).select(*LINE, F.sort_array(F.transform("hashes", key)).alias("tokens"))
 
 
-def _similar(a: str, b: str) -> Column:
-    """Whether at least 4/5 of all tokens of two lines are common to both."""
-    common = F.size(F.array_intersect(a, b))
-    return 9 * common >= 4 * (F.size(a) + F.size(b))
+def _listed(tokens: DataFrame) -> DataFrame:
+    """A row for each token in a line's prefix: ``token, doc_id, line_no, n, i, parity``."""
+    parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
+    sized = tokens.select(*LINE, F.size("tokens").alias("n"), parity.alias("parity"), "tokens")
+    prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
+    return sized.select(*LINE, "n", "parity", F.posexplode(prefix).alias("i", "token"))
 
 
-def _possible(n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Length filter, and what can be common if the i-th and j-th tokens are the first that are."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - i, m - j)) >= 4 * (n + m))
+def _possible(other: str) -> Column:
+    """Filters on length, position (the i-th tokens are the first in common) and parity, against a struct."""
+    n, m, i, j = F.col("n"), F.col(f"{other}.n"), F.col("i"), F.col(f"{other}.i")
+    length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    position = 9 * F.least(n - i, m - j) >= 4 * (n + m)
+    return length & position & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{other}.parity"))) <= n + m)
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Lines ``(doc_id, line_no)`` whose pair with an earlier one ``(a_doc, a_line)`` is similar enough."""
-    mine = pairs.join(tokens, ["doc_id", "line_no"])
-    other = tokens.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("tokens").alias("a_tokens"))
-    return mine.join(other, ["a_doc", "a_line"]).where(_similar("tokens", "a_tokens")).select("doc_id", "line_no").distinct()
+    both = pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")))).alias("x"))
+    wanted = both.groupBy("x.doc_id").agg(F.collect_set("x.line_no").alias("wanted"))
+    lines = _lines(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").select(
+        "doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x).otherwise("")), "\n").alias("text")
+    ))
+    mine = pairs.join(lines, LINE)
+    other = lines.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("line").alias("a_line_text"))
+    a, b = F.array_distinct(words_of("line")), F.array_distinct(words_of("a_line_text"))
+    similar = 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
+    return mine.join(other, ["a_doc", "a_line"]).where(similar).select(*LINE).distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines that match an earlier one."""
-    lines = _lines(docs)
-    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
-    classes = lines.groupBy(*hashes).agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
-    distinct = durable_table(classes.select("h1", "h2", "first.*"), "lines-distinct")
-    magnitudes = durable(_magnitudes(distinct))
-    tokens = _ordered_tokens(distinct.select("doc_id", "line_no", "line"), magnitudes).drop("line")
-    n = F.size("tokens")
-    prefix = F.slice("tokens", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    listed = tokens.select("doc_id", "line_no", n.alias("n"), F.posexplode(prefix).alias("i", "token"))
-    by_place = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    head = F.first(F.struct("doc_id", "line_no", "n", "i")).over(by_place)
-    crowd = listed.withColumn("head", head).withColumn("next", F.lead("line_no").over(by_place)).withColumn("before", F.lag("line_no").over(by_place))
-    crowd = durable_table(crowd.where("next is not null or before is not null").drop("next", "before"), "lines-lists")
-    later = crowd.where(F.struct("doc_id", "line_no") > F.struct("head.doc_id", "head.line_no"))
-    near = later.where(_possible(F.col("n"), F.col("head.n"), F.col("i") + 1, F.col("head.i") + 1))
-    first_pairs = near.select("doc_id", "line_no", F.col("head.doc_id").alias("a_doc"), F.col("head.line_no").alias("a_line")).distinct()
-    settled = durable(_verified(first_pairs, tokens))
-    rest = later.join(settled, ["doc_id", "line_no"], "left_anti")
-    a = crowd.select("token", F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("n").alias("m"), F.col("i").alias("j"))
-    earlier = F.struct("a_doc", "a_line") < F.struct("doc_id", "line_no")
-    not_head = F.struct("a_doc", "a_line") > F.struct("head.doc_id", "head.line_no")
-    more = rest.join(a, "token").where(earlier & not_head & _possible(F.col("n"), F.col("m"), F.col("i") + 1, F.col("j") + 1))
-    found = settled.union(_verified(more.select("doc_id", "line_no", "a_doc", "a_line").distinct(), tokens)).withColumn("goes", F.lit(True))
-    whole = distinct.select("h1", "h2", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"))
-    whole = whole.join(found.select(F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line"), "goes"), ["f_doc", "f_line"], "left")
-    placed = lines.select("doc_id", "line_no", *hashes).join(whole, ["h1", "h2"])
-    return placed.where("goes or doc_id <> f_doc or line_no <> f_line").select("doc_id", "line_no")
+    texts = _texts(docs)
+    copies = durable(_copies(_lines(texts)))
+    rarity = durable(_rarity(texts))
+    copied = copies.groupBy("doc_id").agg(F.collect_set("line_no").alias("copied"))
+    lines = texts.join(copied, "doc_id", "left").select("doc_id", "copied", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    new = ~F.coalesce(F.array_contains("copied", F.col("line_no")), F.lit(False))
+    lines = lines.where(new & (F.trim(F.translate("line", "\t\r", "  ")) != "")).select(*LINE, "line")
+
+    in_list = Window.partitionBy("token")
+    row = F.struct(*LINE, "n", "i", "parity")
+    crowd = _listed(_tokens(lines, rarity)).withColumn("head", F.min(row).over(in_list)).withColumn("size", F.count("*").over(in_list)).where("size > 1")
+    later = crowd.where(F.struct(*LINE) > F.struct("head.doc_id", "head.line_no"))
+    near = later.where(_possible("head")).select(*LINE, F.col("head.doc_id").alias("a_doc"), F.col("head.line_no").alias("a_line")).distinct()
+
+    earlier = crowd.where("size > 2").select("token", F.struct(*LINE, "n", "i", "parity").alias("a"))
+    in_between = (F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)) & (F.struct("a.doc_id", "a.line_no") > F.struct("head.doc_id", "head.line_no"))
+
+    def with_all(rows: DataFrame) -> DataFrame:
+        """Pairs of lines with everything between the head and them in a list."""
+        pairs = rows.where("size > 2").join(earlier, "token").where(in_between & _possible("a"))
+        return pairs.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
+
+    settled = _verified(near, texts)
+    open_ = near.select(*LINE).distinct().join(settled, LINE, "left_anti")
+    rest = with_all(later.where(~_possible("head"))).union(with_all(later.where(_possible("head")).join(open_, LINE, "left_semi")))
+    return copies.union(settled).union(_verified(rest.distinct(), texts)).distinct()
 
 
 def with_removals(docs: DataFrame) -> DataFrame:
     """``docs`` less the lines that go, with ``n_lines`` before and ``n_removed``."""
-    gone = durable(later_matches(docs).distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")))
+    gone = later_matches(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
     out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left")
