@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,10 +35,16 @@ def durable(df: DataFrame) -> DataFrame:
 def durable_table(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`durable`, as compressed Parquet: for wide or text-heavy rows."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so only once the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less any column whose name (in either case) an operator is about to add."""
     taken = {n.lower() for n in names}

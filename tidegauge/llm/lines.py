@@ -15,8 +15,7 @@ settle, so a group of copies never becomes all of its pairs. Filters come before
 up: length, position in the list, and the parity of tokens over 64 hash slots (a bit that differs
 is a token that differs). The similarity is computed on the tokens themselves.
 
-Texts are dealt by doc_id once; whatever needs them reads that same exchange, and lists carry
-numbers only.
+Lists carry numbers only; texts are looked up, by doc_id, for lines that passed all filters.
 
 Defined cases: null text stays null; lines without words never go; rows without doc_id take no
 part and stay as they are; rows that share a doc_id are read as one document, of which lines
@@ -28,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import durable, masked
+from tidegauge.llm._shared import durable, durable_table, masked, release
 
 SLOT_BITS = 18
 LINE = ["doc_id", "line_no"]
@@ -84,7 +83,15 @@ def _listed(tokens: DataFrame) -> DataFrame:
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     sized = tokens.select(*LINE, F.size("tokens").alias("n"), parity.alias("parity"), "tokens")
     prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    return sized.select(*LINE, "n", "parity", F.posexplode(prefix).alias("i", "token"))
+    listed = sized.select(*LINE, "n", "parity", F.posexplode(prefix).alias("i", "token"))
+    return listed.select(F.shiftrightunsigned("token", 20).alias("token"), *LINE, "n", "i", "parity")  # 44 bits will do for a list
+
+
+def _crowded(listed: DataFrame) -> DataFrame:
+    """Rows of lists of two lines or more, with the list's ``size`` and its earliest row, ``head``."""
+    in_list = Window.partitionBy("token")
+    head = F.min(F.struct(*LINE, "n", "i", "parity")).over(in_list)
+    return listed.withColumn("head", head).withColumn("size", F.count("*").over(in_list)).where("size > 1")
 
 
 def _possible(other: str) -> Column:
@@ -119,24 +126,21 @@ def later_matches(docs: DataFrame) -> DataFrame:
     new = ~F.coalesce(F.array_contains("copied", F.col("line_no")), F.lit(False))
     lines = lines.where(new & (F.trim(F.translate("line", "\t\r", "  ")) != "")).select(*LINE, "line")
 
-    in_list = Window.partitionBy("token")
-    row = F.struct(*LINE, "n", "i", "parity")
-    crowd = _listed(_tokens(lines, rarity)).withColumn("head", F.min(row).over(in_list)).withColumn("size", F.count("*").over(in_list)).where("size > 1")
+    release(docs.sparkSession)
+    crowd = durable_table(_crowded(_listed(_tokens(lines, rarity))), "lines-lists")
+    release(docs.sparkSession)
     later = crowd.where(F.struct(*LINE) > F.struct("head.doc_id", "head.line_no"))
-    near = later.where(_possible("head")).select(*LINE, F.col("head.doc_id").alias("a_doc"), F.col("head.line_no").alias("a_line")).distinct()
+    near = durable(later.where(_possible("head")).select(*LINE, F.col("head.doc_id").alias("a_doc"), F.col("head.line_no").alias("a_line")).distinct())
+    settled = durable(_verified(near, texts))
+    release(docs.sparkSession)
 
     earlier = crowd.where("size > 2").select("token", F.struct(*LINE, "n", "i", "parity").alias("a"))
     in_between = (F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)) & (F.struct("a.doc_id", "a.line_no") > F.struct("head.doc_id", "head.line_no"))
-
-    def with_all(rows: DataFrame) -> DataFrame:
-        """Pairs of lines with everything between the head and them in a list."""
-        pairs = rows.where("size > 2").join(earlier, "token").where(in_between & _possible("a"))
-        return pairs.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
-
-    settled = _verified(near, texts)
-    open_ = near.select(*LINE).distinct().join(settled, LINE, "left_anti")
-    rest = with_all(later.where(~_possible("head"))).union(with_all(later.where(_possible("head")).join(open_, LINE, "left_semi")))
-    return copies.union(settled).union(_verified(rest.distinct(), texts)).distinct()
+    rest = later.where("size > 2").join(settled, LINE, "left_anti").join(earlier, "token").where(in_between & _possible("a"))
+    pairs = durable(rest.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct())
+    more = durable(_verified(pairs, texts))
+    release(docs.sparkSession)
+    return copies.union(settled).union(more).distinct()
 
 
 def with_removals(docs: DataFrame) -> DataFrame:
