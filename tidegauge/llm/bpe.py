@@ -26,6 +26,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ from tidegauge.llm.chunks import mask_limits
 CHUNK = 512
 LONGEST_SHARED = 8 * CHUNK
 DICTIONARY = 8192
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
+SLICE_BYTES = 4 << 20
 #: White space that ends a word for the tokenizer and for nothing else.
 SPACE = b" \n\t\r"
 _SPACES = re.compile(rb"[ \n\t\r]")
@@ -120,6 +122,18 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("raw").to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES of text, so that what they encode to takes bounded memory."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk of each document once: digest and length."""
     for batch in batches:
@@ -188,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [encode(x, encoder, shared.value) for x in _texts(batch)]
             if digests:
                 new = [
