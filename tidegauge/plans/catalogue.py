@@ -39,7 +39,7 @@ def declared_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query(C.sql("field") + _WIN + """ SELECT game_id, field, value, source, source IN ('handshake', 'who', 'i3', 'banner') AS measured,
 CAST(greatest(0, epoch(TIMESTAMP '2001-09-01') - epoch(last_confirmed_at)) AS BIGINT) AS age_seconds,
-greatest(0, epoch(TIMESTAMP '2001-09-01') - epoch(last_confirmed_at)) > 86400 * CASE field WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 365 ELSE 100000 END AS stale FROM winner""")
+greatest(0, epoch(TIMESTAMP '2001-09-01') - epoch(last_confirmed_at)) > CAST(86400 AS BIGINT) * CASE field WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 365 ELSE 100000 END AS stale FROM winner""")
 def stale_fields(spark: SparkSession, d: str) -> DataFrame:
     best = fields.winners(C.fields(spark, d), "game_id", "field")
     return fields.provenance(best, "timestamp_ntz'2001-09-01 00:00:00'", {"1-URGENT": 30, "2-HIGH": 365})
@@ -198,7 +198,7 @@ _NEXT = """, step AS (SELECT *, CASE WHEN failures <= 0 THEN CASE WHEN busy THEN
   ELSE least(21600 * pow(2, least(greatest(failures - 2, 0), 20)), 604800) END AS base FROM target)"""
 
 
-@query(C.sql("target") + _NEXT + " SELECT id, CAST(greatest(CAST(base AS BIGINT), CAST(least(delay_hours, 2160) * 3600 AS BIGINT)) AS BIGINT) AS seconds FROM step")
+@query(C.sql("target") + _NEXT + " SELECT id, CAST(greatest(CAST(base AS BIGINT), CASE WHEN delay_hours IS NOT NULL THEN CAST(least(delay_hours, 2160) * 3600 AS BIGINT) END) AS BIGINT) AS seconds FROM step")
 def next_probe(spark: SparkSession, d: str) -> DataFrame:
     return C.due_targets(spark, d).select("id", policy.next_interval(F.col("failures"), F.col("busy"), F.col("delay_hours")).alias("seconds"))
 
