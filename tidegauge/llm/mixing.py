@@ -187,7 +187,8 @@ def document_rates(docs: DataFrame, labels: DataFrame, wanted: dict[str, float]
 def mix(docs: DataFrame, labels: DataFrame, wanted: dict[str, float] | None = None) -> DataFrame:
     """``docs``, each row as often as its rate says: the whole part, and once more by a hash of its id.
 
-    With the default targets no rate is under 1, so every document stays.
+    A rate under 1 is the chance that its document stays: descent can take rates of poor or toxic
+    text a little below 1 to make up for good text seen more often.
     """
     hidden = masked(docs, "doc_id", "text")
     weights, bias = fit(hidden, labels)
