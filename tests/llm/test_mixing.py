@@ -65,7 +65,12 @@ def test_targets_are_met_and_all_rows_stay(spark):
     out = M.mix(frame, marks)
     assert out.columns == frame.columns and out.schema == frame.schema
     ids = [r.doc_id for r in out.collect()]
-    assert set(ids) >= {i for i in range(200) if i % 50} and 1.05 < len(ids) / 200 < 1.35
+    assert set(ids) == set(range(200)) and 1.05 < len(ids) / 200 < 1.35
+    rate, tokens = M.fit_rates(rows, least=1.0)
+    assert rows.select(F.min(rate)).first()[0] == 1.0
+    assert all(abs(a - b) <= 0.05 * a for a, b in tokens.values())
+    some = {r.doc_id for r in M.mix(frame, marks, {"good": 1.0, "poor": 0.2, "toxic": 0.2}, least=0.0).collect()}
+    assert len(some) < 180
 
 
 def test_nothing_to_learn_from_or_to_mix(spark):

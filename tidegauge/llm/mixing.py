@@ -145,15 +145,18 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray | None, bias: np.ndarra
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """max(0, rate - posteriors . step) for each step so far, from rate 1."""
+def _rate(history: list[list[float]], least: float) -> Column:
+    """max(least, rate - posteriors . step) for each step so far, from rate 1."""
     steps = F.from_json(F.lit(str(history)), "array<array<double>>")
     dot = lambda e: sum((F.col(f"p_{d}") * F.get(e, F.lit(k)) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(least), r - dot(e)))
 
 
-def fit_rates(rows: DataFrame, wanted: dict[str, float] | None = None) -> tuple[Column, dict[str, tuple[float, float]]]:
-    """The rate as a column over ``with_posteriors`` rows, and (target, reached) tokens by domain."""
+def fit_rates(rows: DataFrame, wanted: dict[str, float] | None = None, least: float = 0.0) -> tuple[Column, dict[str, tuple[float, float]]]:
+    """The rate as a column over ``with_posteriors`` rows, and (target, reached) tokens by domain.
+
+    Each step is projected onto rates of ``least`` (0 to 1) or more.
+    """
     wanted = wanted or WANTED
     share = lambda d, r: F.sum(r * F.col("tokens") * F.col(f"p_{d}"))
     squares = [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS]
@@ -171,9 +174,9 @@ def fit_rates(rows: DataFrame, wanted: dict[str, float] | None = None) -> tuple[
         if np.max(np.abs(residual) * weight, initial=0.0) < TOLERANCE:
             break
         history.append([float(x) for x in residual * weight / largest])
-        now = rows.agg(*[share(d, _rate(history)).alias(d) for d in DOMAINS]).first()
+        now = rows.agg(*[share(d, _rate(history, least)).alias(d) for d in DOMAINS]).first()
         reached = np.array([now[d] or 0.0 for d in DOMAINS])
-    rate = F.when(F.col("tokens") > 0, _rate(history)).otherwise(1.0) if history else F.lit(1.0)
+    rate = F.when(F.col("tokens") > 0, _rate(history, least)).otherwise(1.0) if history else F.lit(1.0)
     return rate, {d: (float(target[k]), float(reached[k])) for k, d in enumerate(DOMAINS)}
 
 
@@ -184,16 +187,16 @@ def document_rates(docs: DataFrame, labels: DataFrame, wanted: dict[str, float]
     return rows.withColumn("rate", rate)
 
 
-def mix(docs: DataFrame, labels: DataFrame, wanted: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, wanted: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:
     """``docs``, each row as often as its rate says: the whole part, and once more by a hash of its id.
 
-    A rate under 1 is the chance that its document stays: descent can take rates of poor or toxic
-    text a little below 1 to make up for good text seen more often.
+    At a ``least`` of 1 every row stays, and targets are met as nearly as repeats alone can; below
+    1, a rate under 1 is the chance that its document stays.
     """
     hidden = masked(docs, "doc_id", "text")
     weights, bias = fit(hidden, labels)
     rows = durable_table(with_posteriors(hidden.select("doc_id", "text"), weights, bias), "mixing-posteriors")
-    rate, _ = fit_rates(rows, wanted)
+    rate, _ = fit_rates(rows, wanted, least)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     shared = with_posteriors(hidden.withColumn("__text", F.col("text")), weights, bias)
     copies = F.floor(F.round(rate, 6) + chance).cast("int")
