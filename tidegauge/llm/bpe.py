@@ -11,7 +11,7 @@ again as one text. The window of this repair reaches out to white space on both
 chunks if they hold none, because there the encodings agree exactly: the tokenizer drops white
 space, and none of its steps (normalising, splitting, merging, special tokens) looks across it.
 
-Within a task each distinct word is encoded once. Decoding joins what each piece decodes to.
+A slice of documents is encoded at a time, and in it each distinct word once. Decoding joins what each piece decodes to.
 
 Defined cases: null is as empty: no tokens and empty text; repeated rows are encoded each; texts
 of any length are encoded whole; other columns pass through, unless named as a result is.
@@ -20,9 +20,12 @@ of any length are encoded whole; other columns pass through, unless named as a r
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Iterator
-from itertools import pairwise
+import struct
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import batched, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,12 @@ from tidegauge.llm.chunks import mask_limits
 CHUNK = 512
 LONGEST_SHARED = 8 * CHUNK
 DICTIONARY = 8192
-WORDS_KEPT = 150_000
-SLICE_BYTES = 4 << 20
+WORDS_KEPT = 100_000
+SLICE_BYTES = 2 << 20
 #: White space that ends a word for the tokenizer and for nothing else.
 SPACE = b" \n\t\r"
 _SPACES = re.compile(rb"[ \n\t\r]")
+_OTHER_SPACES = re.compile(rb"[\x0b\x0c\x1c-\x1f]")
 
 
 def default_tokenizer() -> str:
@@ -52,35 +56,56 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """A tokenizer that keeps what each word gives: ids (little-endian, 32 bits) and decoded text."""
+    """A tokenizer that keeps what each word gives: ids (little-endian, 32 bits) and decoded text, or None if nothing."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use all cores as it is
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         if self.tokenizer.decoder is not None:
             raise ValueError("the tokenizer must decode by joining its tokens with spaces")
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def pieces(self, raw: bytes) -> list[tuple[bytes, bytes]]:
-        """``(ids, decoded)`` of each word of a text that starts and ends at white space."""
-        words = raw.split() if raw.isascii() and not re.search(rb"[\x0b\x0c\x1c-\x1f]", raw) else [w for w in _SPACES.split(raw) if w]
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known = self.words = {w: known[w] for w in set(words) if w in known}
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = (np.array(e.ids, "<u4").tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False).encode())
-        return [p for p in map(known.__getitem__, words) if p[0]]
-
-    def whole(self, raw: bytes) -> tuple[bytes, bytes]:
-        found = self.pieces(raw)
-        return b"".join([p[0] for p in found]), b" ".join([p[1] for p in found])
+        self.words: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.tokens: dict[int, bytes] = {}
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        tokens = self.tokens
+        for part in batched(words, 4096):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                ids = e.ids
+                for i in ids:
+                    if i not in tokens:
+                        tokens[i] = self.tokenizer.id_to_token(i).encode()
+                self.words[w] = (struct.pack(f"<{len(ids)}I", *ids), b" ".join([tokens[i] for i in ids])) if ids else None
+
+    def whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """``(ids, decoded)`` of texts that start and end at white space.
+
+        Of all words, WORDS_KEPT stay known: those that came again, then the latest.
+        """
+        split = [words_of(t) for t in texts]
+        distinct = dict.fromkeys(chain.from_iterable(split))
+        again = [w for w in distinct if w in self.words]
+        self._learn([w for w in distinct if w not in self.words])
+        out = []
+        for words in split:
+            found = [p for p in map(self.words.__getitem__, words) if p]
+            out.append((b"".join([p[0] for p in found]), b" ".join([p[1] for p in found])))
+        if len(self.words) > WORDS_KEPT:
+            self.words = {w: self.words[w] for w in islice(dict.fromkeys(chain(again, distinct)), WORDS_KEPT)}
+        return out
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    return raw.split() if raw.isascii() and not _OTHER_SPACES.search(raw) else [w for w in _SPACES.split(raw) if w]
 
 
 class Shared:
@@ -98,24 +123,27 @@ def inner(chunk: bytes) -> tuple[int, int] | None:
     return first.end(), max(chunk.rfind(bytes([c])) for c in SPACE)
 
 
-def encode(raw: bytes, encoder: Encoder, dictionary: dict[bytes, Shared]) -> tuple[bytes, bytes]:
-    """Ids and decoded text of a document. Text that no shared chunk covers waits in ``open_``."""
-    ids, decoded, open_from = [], [], 0
-
-    def put(i: bytes, d: bytes) -> None:
-        if i:
-            ids.append(i)
-            decoded.append(d)
-
+def parts_of(raw: bytes, dictionary: dict[bytes, Shared]) -> list[bytes | Shared]:
+    """A document as shared chunks and, between them, the text that none covers, joins included."""
+    parts, open_from = [], 0
     if dictionary:
         for a, b in pairwise(mask_limits(raw, CHUNK)):
             known = dictionary.get(raw[a:b]) if b - a <= LONGEST_SHARED else None
             if known is not None:
-                put(*encoder.whole(raw[open_from : a + known.head]))  # what came before, and the join
-                put(known.ids, known.decoded)
+                parts += [raw[open_from : a + known.head], known]
                 open_from = a + known.tail
-    put(*encoder.whole(raw[open_from:]))
-    return b"".join(ids), b" ".join(decoded)
+    return [*parts, raw[open_from:]]
+
+
+def encode(raws: list[bytes], encoder: Encoder, dictionary: dict[bytes, Shared]) -> list[tuple[bytes, bytes]]:
+    """Ids and decoded text of each document."""
+    documents = [parts_of(raw, dictionary) for raw in raws]
+    between = iter(encoder.whole([p for parts in documents for p in parts if isinstance(p, bytes)]))
+    out = []
+    for parts in documents:
+        found = [next(between) if isinstance(p, bytes) else (p.ids, p.decoded) for p in parts]
+        out.append((b"".join([i for i, _ in found]), b" ".join([d for i, d in found if i])))
+    return out
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -168,13 +196,14 @@ def shared_chunks(texts: DataFrame, path: str, size: int = DICTIONARY) -> dict[b
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["digest", "chunk"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             rows = []
             for chunk in batch.column("chunk").to_pylist():
                 span = inner(chunk)
                 if span is not None:
-                    rows.append((chunk, *span, *encoder.whole(chunk[slice(*span)])))
+                    rows.append((chunk, *span))
+            rows = [(*row, *done) for row, done in zip(rows, encoder.whole([c[i:j] for c, i, j in rows]))]
             if rows:
                 types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "head", "tail", "ids", "decoded"])
@@ -201,9 +230,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs.select(raw), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in _slices(batches):
-            found = [encode(x, encoder, shared.value) for x in _texts(batch)]
+            found = encode(_texts(batch), encoder, shared.value)
             if digests:
                 new = [
                     pa.array([len(i) // 4 for i, _ in found], pa.int64()),
@@ -225,7 +254,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     encoded = without(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Encoder(path).tokenizer
+        tokenizer = encoder_of(path).tokenizer
         for batch in batches:
             ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column("ids").to_pylist()]
             texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
