@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -97,3 +98,33 @@ def test_query(spark):
     assert got == {(1, 1, digest("assign:0:23"), "assign:0:23"), (None, 0, digest(""), ""), (3, 0, digest(""), ""), (4, 0, digest(""), "assign:0:32")}
     assert S.secrets_digest(docs).count() == 5
     assert S.secrets_digest(docs.limit(0)).count() == 0
+
+
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_all_members_of_a_stream(pack):
+    for raw in (pack(b"first " * 9) + pack(b"second") + pack(SECRET.encode()), pack(b"first " * 9) + bytes(512) + gzip.compress(SECRET.encode())):
+        text = b64(raw)
+        assert f"assign:0:{len(text)}" in spans(text)
+    cut = b64(pack(SECRET.encode() * 40) + b"no compressed data")
+    assert f"assign:0:{len(cut)}" in spans(cut)
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_streams_over_a_window(pack):
+    noise = random.Random(5).randbytes(3 << 20)
+    deep = b64(gzip.compress(pack(noise + SECRET.encode() + noise[:99]), 1))
+    assert f"assign:0:{len(deep)}" in spans(deep)
+
+
+def test_base64_runs_over_a_window():
+    rng = random.Random(6)
+    inner = base64.encodebytes(gzip.compress(rng.randbytes(90_000) + SECRET.encode(), 1)).strip()
+    long = b64(bz2.compress(rng.randbytes(6 << 20) + SECRET.encode(), 1)).encode()
+    for at in range(S.WINDOW - len(inner) + 900, S.WINDOW, 40_000):
+        text = b64(gzip.compress(b"x " * (at // 2) + inner + b" end", 1))
+        assert f"assign:0:{len(text)}" in spans(text)
+    text = b64(gzip.compress(b"x " * 9_999 + long + b"\nend", 1))
+    assert f"assign:0:{len(text)}" in spans(text)

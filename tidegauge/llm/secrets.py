@@ -4,13 +4,15 @@ Every text is a worklist of layers. The text itself comes first; a layer in whic
 Unicode escapes or character references stand gives a layer with these resolved, and each base64
 run gives the layer it decodes to, decompressed if it is gzip, zlib, bz2, xz or zstd. Each new
 layer is scanned and unwrapped in turn until none is new: a layer that was seen with the same
-origin (a cycle, as in data that decompress to themselves) is not taken up again. Every layer
+origin (a cycle, as in data that decompress to themselves) is not taken up again. All members of
+compressed data count, and data compressed again are unwrapped as one stream. Every layer
 carries, for each character, the span of the original text it comes from, so what is found in it
 is reported as a span of the original.
 
 Spark deals out the rows; a task holds one text and its layers. Decompressed data are scanned in
-windows of WINDOW bytes that overlap by OVERLAP, so a layer of any size takes bounded memory; a
-secret in them is reported as the span of the whole encoded run.
+windows of WINDOW bytes that overlap by OVERLAP, and a base64 run over their limits goes through a
+temporary file, so a layer of any size takes bounded memory; a secret in them is reported as the
+span of the whole encoded run.
 
 Defined cases: null is as empty and has no spans; a span found in several ways counts once;
 repeated rows are scanned each; other columns of the input pass through, unless they are named as
@@ -22,10 +24,14 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
 import lzma
 import re
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +56,16 @@ _ESCAPE = re.compile(
     r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
-WINDOW, OVERLAP = 1 << 20, 1 << 12
+_BASE64_BYTES = re.compile(_BASE64.pattern.encode())
+#: What of a base64 run may follow its first part.
+_MORE_BYTES = re.compile(rb"[A-Za-z0-9+/_-]*(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n[A-Za-z0-9+/_-]+)*(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n?\Z)?")
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: How gzip, bz2, xz, zstd and zlib data begin in base64.
+_PACKED = re.compile(rb"H4[s-v]|Qlpo|/Td6WFoA|KLUv/|e[A-P]")
+_STRETCH = re.compile(rb"[\t\r\n -~]{12,}")  # shorter than any secret
+_ZSTD = type(zstandard.ZstdDecompressor().decompressobj())
+WINDOW, OVERLAP, FEED, ZSTD_FEED = 1 << 20, 1 << 12, 1 << 16, 1 << 9
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -151,87 +166,154 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def _inflated(raw: bytes) -> Iterator[bytes] | None:
-    """Windows of what compressed data hold; None if they are not compressed."""
-    if raw[:2] == b"\x1f\x8b":
-        codec = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        codec = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        codec = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        codec = lzma.LZMADecompressor()
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        return _windows(iter(lambda r=zstandard.ZstdDecompressor().stream_reader(raw): r.read(WINDOW), b""))
-    else:
-        return None
-
-    def pieces() -> Iterator[bytes]:
-        rest = raw
-        while not codec.eof:
-            piece = codec.decompress(rest, WINDOW)
-            rest = codec.unconsumed_tail if hasattr(codec, "unconsumed_tail") else b""
-            if not piece:
-                return
-            yield piece
-
-    return _windows(pieces())
-
-
-def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    tail = b""
+def _codec(head: bytes):
+    """A decompressor for what begins so; None if it is not compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, one after the other, each of any kind."""
+    codec, rest = None, b""
+    blocks = (piece[k : k + FEED] for piece in pieces for k in range(0, len(piece), FEED))
+    for block in chain(blocks, [b""]):
+        rest += block
+        while True:
+            if codec is None:
+                rest = rest.lstrip(b"\0")
+                if len(rest) < 6 and block:
+                    break  # too short to tell
+                codec = _codec(rest)
+                if codec is None:
+                    return
+            if isinstance(codec, _ZSTD):  # knows no limit, so it gets little at a time
+                out, rest = codec.decompress(rest[:ZSTD_FEED]), rest[ZSTD_FEED:]
+            else:
+                out = codec.decompress(rest, WINDOW)
+                rest = getattr(codec, "unconsumed_tail", b"")
+            if out:
+                yield out
+            if codec.eof:
+                codec, rest = None, codec.unused_data + rest
+            elif not rest and not out:
+                break
+
+
+def _inflated(raw: bytes, more: Iterator[bytes] = iter(())) -> Iterator[bytes] | None:
+    """What a compressed stream, ``raw`` and what follows, holds, in pieces; None if it is not compressed."""
+    return _full(_members(chain([raw], more))) if _codec(raw) is not None else None
+
+
+def _opened(pieces: Iterator[bytes]) -> Iterator[bytes] | None:
+    head, second = next(pieces, b""), next(pieces, None)
+    return _inflated(head) if second is None else _inflated(head, chain([second], pieces))
+
+
+def _full(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces joined to WINDOW bytes at least, but for the last; data that end in an error end there."""
+    held, size = [], 0
     try:
         for piece in pieces:
-            yield tail + piece
-            tail = (tail + piece)[-OVERLAP:]
+            held.append(piece)
+            size += len(piece)
+            if size >= WINDOW:
+                yield b"".join(held)
+                held, size = [], 0
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return
+        pass
+    if size:
+        yield b"".join(held)
+
+
+def _open_run(window: bytes) -> int:
+    """Where a base64 run begins that may go on after the window; else the window's length."""
+    near = len(window.rstrip(_LETTERS + b"\r\n"))
+    last = len(window.rstrip(b"\r\n"))
+    for m in _BASE64_BYTES.finditer(window, near):
+        if m.end() >= last:
+            return m.start()
+    return len(window)
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Texts of a stream by windows; a base64 run that goes over their limits is unwrapped as a whole."""
+    tail, run, line = b"", None, b""
+    for piece in pieces:
+        if run is not None:
+            more = _MORE_BYTES.match(line + piece).end() - len(line)
+            run.write(piece[:more].translate(None, b"\r\n"))
+            line = (line + piece[:more])[-62:]
+            if more < len(piece):
+                yield from _decoded(run)
+                run = None
+        window = tail + piece
+        text = _stretches(window)
+        if text is not None:
+            yield text
+        if run is None and len(window) >= WINDOW and len(window) - (at := _open_run(window)) > OVERLAP:
+            run = tempfile.SpooledTemporaryFile(max_size=4 * WINDOW)
+            run.write(window[at:].translate(None, b"\r\n"))
+            line = window[-62:]
+        tail = window[-OVERLAP:]
+    if run is not None:
+        yield from _decoded(run)
+
+
+def _stretches(raw: bytes) -> str | None:
+    """The stretches of ASCII text that could hold a secret or a layer, apart by NUL; None if there are none."""
+    found = _STRETCH.findall(raw)
+    return b"\0".join(found).decode() if found else None
+
+
+def _unlettered(letters: IO[bytes], at: int) -> Iterator[bytes]:
+    """The bytes that base64 letters stand for, from one of them on."""
+    while True:
+        letters.seek(at)
+        block = letters.read(WINDOW).translate(_STANDARD)
+        at += len(block)
+        if len(block) < WINDOW:
+            block = block[: len(block) - (len(block) % 4 == 1)]
+            if block:
+                yield base64.b64decode(block + b"=" * (-len(block) % 4))
+            return
+        yield base64.b64decode(block)
 
 
-def _plain(raw: bytes) -> str | None:
-    """Text, if the bytes are valid UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+def _packed_starts(letters: IO[bytes]) -> Iterator[int]:
+    """The letters at which compressed data may begin: the first four."""
+    letters.seek(0)
+    block = letters.read(16).translate(_STANDARD)
+    yield from (k for k in range(4) if _PACKED.match(block, k))
 
 
-def _decoded(run: str) -> Iterator[str]:
-    """Texts that a base64 run decodes to; a run may begin with up to three letters of something else."""
-    joined = re.sub(r"[\r\n]", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+def _decoded(letters: IO[bytes]) -> Iterator[str]:
+    """Texts that a base64 run decodes to, wherever in it the encoded data begin."""
     for skip in range(4):
-        body = joined[skip:]
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        if len(body) < 12:
-            return
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        text = _plain(raw)
-        if text is not None:
-            yield text
-            return
-        inner = _inflated(raw)
-        if inner is not None:
-            some = False
-            for window in inner:
-                some = True
-                yield from _of_bytes(window, {hashlib.sha1(raw).digest()})
-            if some:
-                return
-
-
-def _of_bytes(raw: bytes, seen: set[bytes]) -> Iterator[str]:
-    """Text of decompressed bytes; compressed data inside them are unwrapped until nothing is new."""
-    key = hashlib.sha1(raw).digest()
-    if key in seen:
+        yield from _texts(_unlettered(letters, skip))
+    for start in _packed_starts(letters):
+        yield from _unpacked(lambda start=start: _unlettered(letters, start), frozenset())
+
+
+def _unpacked(source: Callable[[], Iterator[bytes]], seen: frozenset[bytes]) -> Iterator[str]:
+    """Texts in what a stream holds if it is compressed; compressed streams in it are unwrapped until nothing is new."""
+    if _opened(source()) is None:
         return
-    seen = seen | {key}
-    inner = _inflated(raw)
-    if inner is None:
-        yield raw.decode("utf-8", "replace")
+    digest = hashlib.sha1()
+    for piece in source():
+        digest.update(piece)
+    if digest.digest() in seen:
         return
-    for window in inner:
-        yield from _of_bytes(window, seen)
+    yield from _texts(_opened(source()))
+    yield from _unpacked(lambda: _opened(source()), seen | {digest.digest()})
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
@@ -252,7 +334,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
             children.append(_unicode(layer))
         for m in _BASE64.finditer(layer.text):
             origin = layer.origin(m.start(), m.end())
-            children += [Layer(x, whole=origin) for x in _decoded(m.group())]
+            children += [Layer(x, whole=origin) for x in _decoded(io.BytesIO(m.group().encode().translate(None, b"\r\n=")))]
         for child in children:
             if child is not None and (key := child.key()) not in seen:
                 seen.add(key)
