@@ -128,3 +128,25 @@ def test_base64_runs_over_a_window():
         assert f"assign:0:{len(text)}" in spans(text)
     text = b64(gzip.compress(b"x " * 9_999 + long + b"\nend", 1))
     assert f"assign:0:{len(text)}" in spans(text)
+
+
+@pytest.mark.parametrize("prefix", ["backup/", "io/d/", "payload_", "a/b/c/", "x-", "some-longer-name_of_it/"])
+def test_base64_behind_a_path_or_name(prefix):
+    for raw in [SECRET.encode(), *[pack(SECRET.encode()) for pack in PACKS]]:
+        text = f"see {prefix}{b64(raw)} end"
+        assert f"assign:4:{len(text) - 4}" in spans(text)
+
+
+def test_secrets_in_decoded_records():
+    for raw in (b"\0\x01" + SECRET.encode() + b"\0", b"\xff\xfe" + SECRET.encode() + b"\x80", b"\0" + b64(b"\0" + SECRET.encode()).encode()):
+        text = b64(raw)
+        assert spans(text) == [f"assign:0:{len(text)}"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_last_line_of_a_wrapped_run(end):
+    for n in range(57, 120):
+        raw = ("é" * 99 + " " * n)[-n:].encode()[-n:] + SECRET.encode()
+        wrapped = end.join(re.findall(".{1,76}", b64(raw)))
+        text = f"{wrapped} end"
+        assert spans(text) == [f"assign:0:{len(wrapped)}"]

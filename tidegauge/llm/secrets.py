@@ -55,7 +55,8 @@ _PERCENT = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(
     r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Each line but the last has 60 letters at least, and the last may have any number.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 _BASE64_BYTES = re.compile(_BASE64.pattern.encode())
 #: What of a base64 run may follow its first part.
 _MORE_BYTES = re.compile(rb"[A-Za-z0-9+/_-]*(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n[A-Za-z0-9+/_-]+)*(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n?\Z)?")
@@ -63,6 +64,7 @@ _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: How gzip, bz2, xz, zstd and zlib data begin in base64.
 _PACKED = re.compile(rb"H4[s-v]|Qlpo|/Td6WFoA|KLUv/|e[A-P]")
+_PACKED_AFTER = re.compile(rb"(?<=[+/])(?=" + _PACKED.pattern + rb")")
 _STRETCH = re.compile(rb"[\t\r\n -~]{12,}")  # shorter than any secret
 _ZSTD = type(zstandard.ZstdDecompressor().decompressobj())
 WINDOW, OVERLAP, FEED, ZSTD_FEED = 1 << 20, 1 << 12, 1 << 16, 1 << 9
@@ -289,10 +291,22 @@ def _unlettered(letters: IO[bytes], at: int) -> Iterator[bytes]:
 
 
 def _packed_starts(letters: IO[bytes]) -> Iterator[int]:
-    """The letters at which compressed data may begin: the first four."""
-    letters.seek(0)
-    block = letters.read(16).translate(_STANDARD)
-    yield from (k for k in range(4) if _PACKED.match(block, k))
+    """The letters at which compressed data may begin: the first four, and any behind one of ``/``, ``-``, ``_`` and ``+``."""
+    at, last, before = 0, -1, b""
+    while True:
+        letters.seek(at)
+        block = letters.read(WINDOW).translate(_STANDARD)
+        if not block:
+            return
+        low = at - len(before)
+        for m in _PACKED_AFTER.finditer(before + block):
+            if low + m.start() > max(last, 3):
+                last = low + m.start()
+                yield last
+        if not at:
+            yield from (k for k in range(4) if _PACKED.match(block, k))
+        at += len(block)
+        before = block[-16:]
 
 
 def _decoded(letters: IO[bytes]) -> Iterator[str]:
