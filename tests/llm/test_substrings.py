@@ -73,3 +73,28 @@ def test_odd_rows(spark):
     assert {r.doc_id for r in got} <= {4, 5}
     assert substrings.remove_repeats(frame(spark, rows)).count() == len(rows)
     assert substrings.repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_passages_of_just_over_fifty_words_to_their_ends(spark):
+    """Against plain words: every planted passage, wherever the chunks fall, and nothing shorter."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuéö") for _ in range(rng.randint(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = {}, {}
+    for i in range(0, 400, 2):
+        passage = prose(51 if i % 4 else 40)
+        for k in (i, i + 1):
+            head = prose(60) + f" {k}# "
+            rows[k] = head + passage + f" #{k} " + prose(60)
+            planted[k] = (len(head.encode()), len((head + passage).encode()), passage)
+    got = {}
+    for r in substrings.passages(frame(spark, rows.items())).collect():
+        assert r.doc_id not in got
+        got[r.doc_id] = r
+    assert set(got) == {k for k in rows if k % 4 == 3}
+    for k, r in got.items():
+        raw, before = rows[k].encode(), rows[k - 1].encode()
+        low, high, _ = planted[k]
+        assert r.start <= low and r.end >= high and raw[r.start : r.end] in before
+        assert raw[r.start - 1 : r.end] not in before and raw[r.start : r.end + 1] not in before
+        assert r.words == sum(c in b" \n\t\r" for c in raw[r.start : r.end]) and r.first_doc_id == k - 1

@@ -64,9 +64,9 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegauge.llm.substrings import repeats
+    from tidegauge.llm.substrings import passages
 
-    return repeats(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
