@@ -89,3 +89,11 @@ def test_hash_is_sparks_own(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert simhash.classes(docs).count() == 0 and simhash.keep_first(docs).count() == 0
+
+
+def test_rows_that_share_a_doc_id_stay_by_class(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (5, texts[2]), (5, texts[2]), (1, " ".join(f"d{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in simhash.keep_first(docs).collect())
+    assert got == sorted({rows[0], rows[2], rows[4], rows[6]})

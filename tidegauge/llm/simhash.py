@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegauge.llm._shared import connected_components, durable
+from tidegauge.llm._shared import connected_components, durable, masked
 
 WIDTH = 4
 SEED = 42
@@ -205,22 +206,40 @@ def links(fps: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     return found.where("cell is null").select("a", "b").union(more.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id, root)`` for every row; root, a fingerprint, tells classes with the same smallest doc_id apart."""
     fps = durable(with_fingerprints(docs))
     nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     placed = durable(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(placed.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row."""
+    return _placed(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, that with the smallest doc_id; rows without one stay."""
-    names = docs.columns
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(keep, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__copy = 1")
-    return first.unionByName(docs.where("doc_id is null").withColumn("__copy", F.lit(1))).select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with one row of each class, that with the smallest doc_id; rows without one stay.
+
+    Of rows of a class that share this doc_id, one of the smallest fingerprint stays, the first by digest of its text.
+    """
+    hidden = masked(docs, "doc_id", "text")
+    keep = _placed(docs).where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__fp")).drop("root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint((x.as_py() or "").encode()) for x in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
+
+    first = hidden.join(keep.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    first = first.mapInArrow(run, T.StructType([*hidden.schema.fields, T.StructField("__fp", T.LongType())]))
+    first = first.join(keep.toDF("__id", "__kept"), (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.sha2("text", 256)))
+    first = first.withColumn("__copy", nth).where("__copy = 1").select(*hidden.columns)
+    return first.unionByName(hidden.where("doc_id is null")).toDF(*docs.columns)
 
 
 def classes(docs: DataFrame) -> DataFrame:
