@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in local tests, a temporary folder takes its place.
+    Only where it is unset and Spark runs in one process, as in local tests, a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not folder and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if folder:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(folder)
@@ -32,17 +36,37 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def durable_table(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`durable`, as compressed Parquet: for wide or text-heavy rows."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting: a finished query's shuffle files go at once, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run and end in here leave no shuffle files."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: it does so only once the driver's JVM collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def durable_table(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`durable`, as compressed Parquet: for wide or text-heavy rows. Its shuffle files go, and :func:`discard` takes it away."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`durable_table` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

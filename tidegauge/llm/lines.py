@@ -3,39 +3,51 @@
 A line's tokens are its distinct words. Two lines match if the Jaccard similarity of their tokens
 is at least 4/5, and a line goes if it matches one that stands earlier, by (doc_id, line number).
 
-Equal lines are one first, which stands where they occur first. Tokens are ordered by rarity: by
-the order of magnitude of how often they occur in all texts (counted over hash slots, a fixed
-number), then by hash. Any such order is right; rare tokens first keep the lists short. A line of
-n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match share one of them.
+Equal lines are one first, which stands where they occur first; each such line is stored once, with
+its prefix. Tokens are ordered by rarity: by the order of magnitude of how often they occur in all
+texts, then by hash. Counts are kept over hash slots, a fixed number, as a table of all words would
+have to be joined to every word; any such order is right, and rare tokens first keep the lists
+short. A line of n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match
+share one of them.
 
 In each list, a line is first compared with the list's earliest line, its head. Where copies vary,
-that finds nearly all, in one comparison per line. Compared with everything earlier in their lists
-are only lines that cannot match a head, and those that the comparison with the heads did not
-settle, so a group of copies never becomes all of its pairs. Filters come before texts are looked
-up: length, position in the list, and the parity of tokens over 64 hash slots (a bit that differs
-is a token that differs). The similarity is computed on the tokens themselves.
+that finds nearly all, in one comparison per line, so a group of copies never becomes all of its
+pairs. A list that may hold over 2 ** LIST_BITS lines, as its token's magnitude says, is dealt out
+in parts with a head each. Lines that no head settled are then joined with all that stands earlier
+in their lists, whatever the parts, where Spark splits lists that are long. Filters come before
+texts are looked up: length, position in the list, and the parity of tokens over 64 hash slots (a
+bit that differs is a token that differs). The similarity is computed on the words themselves.
 
-Lists carry numbers only; texts are looked up, by doc_id, for lines that passed all filters.
+Lists carry numbers only; the lines of pairs that passed all filters are looked up once for all of
+them.
 
 Defined cases: null text stays null; lines without words never go; rows without doc_id take no
 part and stay as they are; rows that share a doc_id are read as one document, of which lines
-with the same number are not later than one another; other columns pass through.
+with the same number are not later than one another; other columns pass through, but for
+``n_lines`` and ``n_removed``, which :func:`with_removals` replaces in either case.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import durable, durable_table, masked, release
+from tidegauge.llm._shared import discard, durable_table, masked, without
 
-SLOT_BITS = 18
+SLOT_BITS = 20
+LIST_BITS = 10
+#: The last join runs over shares of the tokens, one after the other, to halve the disk that its shuffles take.
+SHARES = 2
+HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
+ENTRY = [*LINE, "n", "i", "parity"]
 
 
 def words_of(line: str) -> Column:
-    """Words of a line that has any; some may repeat."""
-    return F.split(F.trim(F.translate(line, "\t\r", "  ")), " +")
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(line, r"[ \t\r]+")), "")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -43,13 +55,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line)`` of all lines with words."""
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    """``(doc_id, line_no, line)`` of all lines with words, and 128 bits of hash."""
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HAS_WORDS))
+    return lines.select(*LINE, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
 def _copies(lines: DataFrame) -> DataFrame:
-    """``(doc_id, line_no)`` of lines equal to an earlier one, found by 128 bits of hash."""
-    hashed = lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
+    """``(doc_id, line_no)`` of lines equal to an earlier one."""
+    hashed = lines.select(*LINE, "h1", "h2")
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return hashed.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or line_no <> first.line_no").select(*LINE)
 
@@ -60,7 +73,7 @@ def _slot(h: Column) -> Column:
 
 def _rarity(texts: DataFrame) -> DataFrame:
     """One row, one array: for each slot, the order of magnitude of how often its tokens occur."""
-    words = texts.select(F.explode(F.split("text", "[ \t\r\n]+")).alias("w"))
+    words = texts.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("w"))
     counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
     every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"))
     size = F.coalesce(F.floor(F.log2("n")) + 1, F.lit(0)).cast("tinyint")
@@ -68,30 +81,28 @@ def _rarity(texts: DataFrame) -> DataFrame:
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
-def _tokens(lines: DataFrame, rarity: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, tokens)``: numbers that sort rarest first. The array of sizes is a scalar, not a column of each row."""
-    hashes = lines.withColumn("hashes", F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w))))
-
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(F.col("sizes"), _slot(h)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, line, n, parity, prefix)`` of each different line, where it stands first.
 
-    return hashes.withColumn("sizes", rarity.scalar()).select(*LINE, F.sort_array(F.transform("hashes", key)).alias("tokens"))
+    A token is a number of 44 bits, as many as lists need: its magnitude, then its hash. The array of
+    magnitudes is a scalar, not a column of each row.
+    """
+    once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("at"), F.first("line").alias("line")).select("at.*", "line")
 
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.get(F.col("sizes"), _slot(h)).cast("long"), 37).bitwiseOR(F.shiftrightunsigned(h, 27))
 
-def _listed(tokens: DataFrame) -> DataFrame:
-    """A row for each token in a line's prefix: ``token, doc_id, line_no, n, i, parity``."""
+    hashes = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
+    tokens = once.withColumn("hashes", hashes).withColumn("sizes", rarity.scalar())
+    tokens = tokens.select(*LINE, "line", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("tokens"))
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
-    sized = tokens.select(*LINE, F.size("tokens").alias("n"), parity.alias("parity"), "tokens")
     prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    listed = sized.select(*LINE, "n", "parity", F.posexplode(prefix).alias("i", "token"))
-    return listed.select(F.shiftrightunsigned("token", 20).alias("token"), *LINE, "n", "i", "parity")  # 44 bits will do for a list
+    return tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
 
 
-def _crowded(listed: DataFrame) -> DataFrame:
-    """Rows of lists of two lines or more, with the list's ``size`` and its earliest row, ``head``."""
-    in_list = Window.partitionBy("token")
-    head = F.min(F.struct(*LINE, "n", "i", "parity")).over(in_list)
-    return listed.withColumn("head", head).withColumn("size", F.count("*").over(in_list)).where("size > 1")
+def _listed(lines: DataFrame) -> DataFrame:
+    """A row for each token in a line's prefix: ``token, doc_id, line_no, n, i, parity``."""
+    return lines.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "token"))
 
 
 def _possible(other: str) -> Column:
@@ -102,58 +113,68 @@ def _possible(other: str) -> Column:
     return length & position & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{other}.parity"))) <= n + m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    return rows.select(*LINE, F.col(f"{other}.doc_id").alias("a_doc"), F.col(f"{other}.line_no").alias("a_line")).distinct()
+
+
+def _with_heads(lines: DataFrame) -> DataFrame:
+    """Pairs of a line and the head of one of its lists, or of its part of a long one."""
+    part = F.expr(f"pmod(xxhash64(doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, 37) as int) - {LIST_BITS}, 0)))")
+    in_part = Window.partitionBy("token", "part").orderBy(*LINE)
+    head = F.first(F.struct(*ENTRY)).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    later = _listed(lines).withColumn("part", part).withColumn("head", head).where(F.struct(*LINE) > F.struct("head.doc_id", "head.line_no"))
+    return _pairs(later.where(_possible("head")), "head")
+
+
+def _with_earlier(lines: DataFrame, settled: DataFrame, share: int) -> DataFrame:
+    """Pairs of an unsettled line and one earlier in one of its lists."""
+    mine = F.pmod("token", F.lit(SHARES)) == share
+    earlier = _listed(lines).where(mine).select("token", F.struct(*ENTRY).alias("a"))
+    rest = _listed(lines.join(settled, LINE, "left_anti")).where(mine)
+    return _pairs(rest.join(earlier, "token").where((F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)) & _possible("a")), "a")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines ``(doc_id, line_no)`` whose pair with an earlier one ``(a_doc, a_line)`` is similar enough."""
-    both = pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")))).alias("x"))
-    wanted = both.groupBy("x.doc_id").agg(F.collect_set("x.line_no").alias("wanted"))
-    lines = _lines(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").select(
-        "doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("wanted", i), x).otherwise("")), "\n").alias("text")
-    ))
-    mine = pairs.join(lines, LINE)
-    other = lines.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("line").alias("a_line_text"))
-    a, b = F.array_distinct(words_of("line")), F.array_distinct(words_of("a_line_text"))
-    similar = 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
-    return mine.join(other, ["a_doc", "a_line"]).where(similar).select(*LINE).distinct()
+    wanted = pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct()
+    found = durable_table(lines.select(*LINE, "line").join(wanted, LINE, "left_semi"), "lines-compared")
+    mine = found.select(*LINE, words_of("line").alias("a"))
+    other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), words_of("line").alias("b"))
+    similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
+    both = pairs.join(mine, LINE).join(other, ["a_doc", "a_line"])
+    good = durable_table(both.where(similar).select(*LINE).distinct(), "lines-matched")
+    discard(found)
+    return good
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines that match an earlier one."""
     texts = _texts(docs)
-    copies = durable(_copies(_lines(texts)))
-    rarity = durable(_rarity(texts))
-    copied = copies.groupBy("doc_id").agg(F.collect_set("line_no").alias("copied"))
-    lines = texts.join(copied, "doc_id", "left").select("doc_id", "copied", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    new = ~F.coalesce(F.array_contains("copied", F.col("line_no")), F.lit(False))
-    lines = lines.where(new & (F.trim(F.translate("line", "\t\r", "  ")) != "")).select(*LINE, "line")
-
-    release(docs.sparkSession)
-    crowd = durable_table(_crowded(_listed(_tokens(lines, rarity))), "lines-lists")
-    release(docs.sparkSession)
-    later = crowd.where(F.struct(*LINE) > F.struct("head.doc_id", "head.line_no"))
-    near = durable(later.where(_possible("head")).select(*LINE, F.col("head.doc_id").alias("a_doc"), F.col("head.line_no").alias("a_line")).distinct())
-    settled = durable(_verified(near, texts))
-    release(docs.sparkSession)
-
-    earlier = crowd.where("size > 2").select("token", F.struct(*LINE, "n", "i", "parity").alias("a"))
-    in_between = (F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)) & (F.struct("a.doc_id", "a.line_no") > F.struct("head.doc_id", "head.line_no"))
-    rest = later.where("size > 2").join(settled, LINE, "left_anti").join(earlier, "token").where(in_between & _possible("a"))
-    pairs = durable(rest.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct())
-    more = durable(_verified(pairs, texts))
-    release(docs.sparkSession)
-    return copies.union(settled).union(more).distinct()
+    rarity = durable_table(_rarity(texts), "lines-rarity")
+    lines = durable_table(_distinct(_lines(texts), rarity), "lines-distinct")
+    copies = durable_table(_copies(_lines(texts)), "lines-copies")
+    near = durable_table(_with_heads(lines), "lines-heads")
+    settled = _verified(near, lines)
+    shares = [durable_table(_with_earlier(lines, settled, k), "lines-earlier") for k in range(SHARES)]
+    more = _verified(reduce(DataFrame.union, shares).distinct(), lines)
+    discard(rarity, lines, near, *shares)
+    return copies.union(settled).union(more)
 
 
 def with_removals(docs: DataFrame) -> DataFrame:
     """``docs`` less the lines that go, with ``n_lines`` before and ``n_removed``."""
-    gone = later_matches(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    docs = without(docs, "n_lines", "n_removed")
+    hidden = masked(docs, "doc_id", "text")
+    gone = later_matches(hidden).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
-    out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(F.col("__parts"), i))
+    out = hidden.withColumn("__id", F.col("doc_id").cast("long")).join(gone, "__id", "left")
+    out = out.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
     return out.select(
-        *[F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in hidden.columns],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    ).toDF(*docs.columns, "n_lines", "n_removed")
 
 
 def remove_later_matches(docs: DataFrame) -> DataFrame:
