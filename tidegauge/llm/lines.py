@@ -10,20 +10,21 @@ have to be joined to every word; any such order is right, and rare tokens first
 short. A line of n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match
 share one of them.
 
-In each list, a line is first compared with the list's earliest line, its head. Where copies vary,
-that finds nearly all, in one comparison per line, so a group of copies never becomes all of its
-pairs. A list that may hold over 2 ** LIST_BITS lines, as its token's magnitude says, is dealt out
-in parts with a head each. Lines that no head settled are then joined with all that stands earlier
-in their lists, whatever the parts, where Spark splits lists that are long. Filters come before
-texts are looked up: length, position in the list, and the parity of tokens over 64 hash slots (a
-bit that differs is a token that differs). The similarity is computed on the words themselves.
+In each list, a line is first compared with the list's earliest line, its head, and with the BEFORE
+lines that stand before it. Where copies vary, that finds nearly all in a few comparisons per line,
+so a group of copies never becomes all of its pairs. A list that may hold over 2 ** LIST_BITS lines,
+as its token's magnitude says, is dealt out in parts with a head each. Lines not settled so are then
+joined with all that stands earlier in their lists, whatever the parts, where Spark splits lists
+that are long. Filters come before texts are looked up: length, position in the list, and the
+parity of tokens over 64 hash slots (a bit that differs is a token that differs). The similarity is
+computed on the words themselves, first for each line's pair with most lists in common.
 
 Lists carry numbers only; the lines of pairs that passed all filters are looked up once for all of
 them.
 
 Defined cases: null text stays null; lines without words never go; rows without doc_id take no
 part and stay as they are; rows that share a doc_id are read as one document, of which lines
-with the same number are not later than one another; other columns pass through, but for
+with the same number are not later than one another and go only together; other columns pass through, but for
 ``n_lines`` and ``n_removed``, which :func:`with_removals` replaces in either case.
 """
 
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm._shared import discard, durable_table, masked, without
 
-SLOT_BITS = 20
-LIST_BITS = 10
+SLOT_BITS = 18
+HASH_BITS = 37
+LIST_BITS = 6
+BEFORE = 3
 #: The last join runs over shares of the tokens, one after the other, to halve the disk that its shuffles take.
 SHARES = 2
 HAS_WORDS = r"[^ \t\r]"
@@ -46,8 +49,9 @@ ENTRY = [*LINE, "n", "i", "parity"]
 
 
 def words_of(line: str) -> Column:
-    """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, r"[ \t\r]+")), "")
+    """The words of a line that has any; only lines with other white space than single spaces are rewritten first."""
+    plain = F.when(F.contains(F.col(line), F.lit("\t")) | F.contains(F.col(line), F.lit("\r")) | F.contains(F.col(line), F.lit("  ")), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(F.col(line))
+    return F.split(F.trim(plain), " ")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -60,24 +64,17 @@ def _lines(texts: DataFrame) -> DataFrame:
     return lines.select(*LINE, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
-def _copies(lines: DataFrame) -> DataFrame:
-    """``(doc_id, line_no)`` of lines equal to an earlier one."""
-    hashed = lines.select(*LINE, "h1", "h2")
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return hashed.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or line_no <> first.line_no").select(*LINE)
-
-
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
+def _slot(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
 def _rarity(texts: DataFrame) -> DataFrame:
-    """One row, one array: for each slot, the order of magnitude of how often its tokens occur."""
+    """One row, one array: for each slot, the order of magnitude of how often its tokens occur, above the 37 bits of a hash."""
     words = texts.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
-    every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"))
-    size = F.coalesce(F.floor(F.log2("n")) + 1, F.lit(0)).cast("tinyint")
-    filled = every.join(counts, "slot", "left").select("slot", size.alias("size"))
+    counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
+    sizes = counts.select("slot", F.shiftleft(F.floor(F.log2("n")).cast("long") + 1, HASH_BITS).alias("size"))
+    every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("size"))
+    filled = sizes.union(every).groupBy("slot").agg(F.max("size").alias("size"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
@@ -89,12 +86,12 @@ def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
     """
     once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("at"), F.first("line").alias("line")).select("at.*", "line")
 
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(F.col("sizes"), _slot(h)).cast("long"), 37).bitwiseOR(F.shiftrightunsigned(h, 27))
+    def key(w: Column) -> Column:
+        return F.get(F.col("sizes"), _slot(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
 
-    hashes = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
-    tokens = once.withColumn("hashes", hashes).withColumn("sizes", rarity.scalar())
-    tokens = tokens.select(*LINE, "line", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("tokens"))
+    sized = once.withColumn("sizes", rarity.scalar())
+    tokens = sized.select(*LINE, "line", F.sort_array(F.array_distinct(F.transform(words_of("line"), key))).alias("tokens"))
+    tokens = tokens.withColumn("n", F.size("tokens"))
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
     return tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
@@ -113,17 +110,20 @@ def _possible(other: str) -> Column:
     return length & position & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{other}.parity"))) <= n + m)
 
 
-def _pairs(rows: DataFrame, other: str) -> DataFrame:
-    return rows.select(*LINE, F.col(f"{other}.doc_id").alias("a_doc"), F.col(f"{other}.line_no").alias("a_line")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of a line and an earlier one, with the number of lists that both are in."""
+    earlier = F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)
+    return rows.where(earlier & _possible("a")).groupBy(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).agg(F.count("*").alias("shared"))
 
 
 def _with_heads(lines: DataFrame) -> DataFrame:
-    """Pairs of a line and the head of one of its lists, or of its part of a long one."""
-    part = F.expr(f"pmod(xxhash64(doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, 37) as int) - {LIST_BITS}, 0)))")
+    """Pairs of a line with the head of each list, or of its part of a long one, and with the few lines just before it there."""
+    part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, {HASH_BITS}) as int) - {LIST_BITS}, 0)))")
     in_part = Window.partitionBy("token", "part").orderBy(*LINE)
-    head = F.first(F.struct(*ENTRY)).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    later = _listed(lines).withColumn("part", part).withColumn("head", head).where(F.struct(*LINE) > F.struct("head.doc_id", "head.line_no"))
-    return _pairs(later.where(_possible("head")), "head")
+    entry = F.struct(*ENTRY)
+    head = F.first(entry).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    others = F.array(head, *[F.lag(entry, k).over(in_part) for k in range(1, BEFORE + 1)])
+    return _pairs(_listed(lines).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null"))
 
 
 def _with_earlier(lines: DataFrame, settled: DataFrame, share: int) -> DataFrame:
@@ -131,48 +131,65 @@ def _with_earlier(lines: DataFrame, settled: DataFrame, share: int) -> DataFrame
     mine = F.pmod("token", F.lit(SHARES)) == share
     earlier = _listed(lines).where(mine).select("token", F.struct(*ENTRY).alias("a"))
     rest = _listed(lines.join(settled, LINE, "left_anti")).where(mine)
-    return _pairs(rest.join(earlier, "token").where((F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)) & _possible("a")), "a")
+    return _pairs(rest.join(earlier, "token"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines ``(doc_id, line_no)`` whose pair with an earlier one ``(a_doc, a_line)`` is similar enough."""
+    """Lines ``(doc_id, line_no)`` with an earlier one ``(a_doc, a_line)`` that is similar enough.
+
+    Each line's likeliest pair is tried first, and the others only if that one fails.
+    """
     wanted = pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct()
     found = durable_table(lines.select(*LINE, "line").join(wanted, LINE, "left_semi"), "lines-compared")
     mine = found.select(*LINE, words_of("line").alias("a"))
     other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), words_of("line").alias("b"))
-    similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
-    both = pairs.join(mine, LINE).join(other, ["a_doc", "a_line"])
-    good = durable_table(both.where(similar).select(*LINE).distinct(), "lines-matched")
+    similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")))
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(mine, LINE).join(other, ["a_doc", "a_line"])
+        return durable_table(both.where(similar).select(*LINE).distinct(), "lines-matched")
+
+    likeliest = pairs.groupBy(*LINE).agg(F.max(F.struct("shared", "a_doc", "a_line")).alias("a")).select(*LINE, "a.a_doc", "a.a_line")
+    first = matched(likeliest)
+    rest = matched(pairs.join(first, LINE, "left_anti"))
     discard(found)
-    return good
+    return first.union(rest)
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no)`` of the lines that match an earlier one."""
-    texts = _texts(docs)
+def kept_lines(texts: DataFrame) -> DataFrame:
+    """``(doc_id, line_no)`` of the lines with words that match no earlier one."""
     rarity = durable_table(_rarity(texts), "lines-rarity")
     lines = durable_table(_distinct(_lines(texts), rarity), "lines-distinct")
-    copies = durable_table(_copies(_lines(texts)), "lines-copies")
-    near = durable_table(_with_heads(lines), "lines-heads")
+    near = durable_table(_with_heads(lines), "lines-near")
     settled = _verified(near, lines)
     shares = [durable_table(_with_earlier(lines, settled, k), "lines-earlier") for k in range(SHARES)]
-    more = _verified(reduce(DataFrame.union, shares).distinct(), lines)
+    pairs = reduce(DataFrame.union, shares).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
+    more = _verified(pairs, lines)
+    kept = durable_table(lines.select(*LINE).join(settled.union(more), LINE, "left_anti").distinct(), "lines-kept")
     discard(rarity, lines, near, *shares)
-    return copies.union(settled).union(more)
+    return kept
+
+
+def later_matches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no)`` of the lines that match an earlier one."""
+    texts = _texts(docs)
+    return _lines(texts).select(*LINE).distinct().join(kept_lines(texts), LINE, "left_anti")
 
 
 def with_removals(docs: DataFrame) -> DataFrame:
     """``docs`` less the lines that go, with ``n_lines`` before and ``n_removed``."""
     docs = without(docs, "n_lines", "n_removed")
     hidden = masked(docs, "doc_id", "text")
-    gone = later_matches(hidden).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(F.col("__parts"), i))
-    out = hidden.withColumn("__id", F.col("doc_id").cast("long")).join(gone, "__id", "left")
-    out = out.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
+    kept = kept_lines(_texts(hidden)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__kept"))
+    out = hidden.withColumn("__id", F.col("doc_id").cast("long")).join(kept, "__id", "left").withColumn("__parts", F.split("text", "\n"))
+    with_words = F.array_compact(F.transform("__parts", lambda x, i: F.when(x.rlike(HAS_WORDS), i)))
+    gone = F.array_except(with_words, F.coalesce("__kept", F.array().cast("array<int>")))
+    out = out.withColumn("__gone", F.when(F.col("__id").isNotNull(), gone))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    less = F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")
     return out.select(
-        *[F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in hidden.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(F.size("__gone") > 0, less).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in hidden.columns],
+        F.coalesce(F.size("__parts"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     ).toDF(*docs.columns, "n_lines", "n_removed")
 
