@@ -10,14 +10,15 @@ have to be joined to every word; any such order is right, and rare tokens first
 short. A line of n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match
 share one of them.
 
-In each list, a line is first compared with the list's earliest line, its head, and with the BEFORE
-lines that stand before it. Where copies vary, that finds nearly all in a few comparisons per line,
-so a group of copies never becomes all of its pairs. A list that may hold over 2 ** LIST_BITS lines,
-as its token's magnitude says, is dealt out in parts with a head each. Lines not settled so are then
-joined with all that stands earlier in their lists, whatever the parts, where Spark splits lists
-that are long. Filters come before texts are looked up: length, position in the list, and the
-parity of tokens over 64 hash slots (a bit that differs is a token that differs). The similarity is
-computed on the words themselves, first for each line's pair with most lists in common.
+A list whose token's magnitude says that it holds under 2 ** LIST_BITS lines is compared whole. A
+longer one is dealt out in parts of about 2 ** PART_BITS lines, in which a line is compared with the
+part's earliest line, its head, and with the BEFORE lines before it. Where copies vary, that finds
+nearly all in a few comparisons per line, so a group of copies never becomes all of its pairs. Lines
+not settled so are then joined with all that stands earlier in their long lists, whatever the parts;
+Spark splits lists there that are very long. Filters come before texts are looked up: length,
+position in the list, and the parity of tokens over 64 hash slots (a bit that differs is a token
+that differs). The similarity is computed on 64-bit hashes of all words, first for each line's pair
+with most lists in common.
 
 Lists carry numbers only; the lines of pairs that passed all filters are looked up once for all of
 them.
@@ -30,8 +31,6 @@ with the same number are not later than one another and go only together; other
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +38,11 @@ from tidegauge.llm._shared import discard, durable_table, masked, without
 
 SLOT_BITS = 18
 HASH_BITS = 37
-LIST_BITS = 6
+LIST_BITS = 8
+PART_BITS = 6
 BEFORE = 3
-#: The last join runs over shares of the tokens, one after the other, to halve the disk that its shuffles take.
-SHARES = 2
 HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
-ENTRY = [*LINE, "n", "i", "parity"]
 
 
 def words_of(line: str) -> Column:
@@ -102,36 +99,46 @@ def _listed(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "token"))
 
 
-def _possible(other: str) -> Column:
-    """Filters on length, position (the i-th tokens are the first in common) and parity, against a struct."""
-    n, m, i, j = F.col("n"), F.col(f"{other}.n"), F.col("i"), F.col(f"{other}.i")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of a line ``x`` and an earlier one ``a``, with the number of lists that both are in.
+
+    Filters on length, position (the i-th tokens are the first in common) and parity.
+    """
+    n, m, i, j = F.col("x.n"), F.col("a.n"), F.col("x.i"), F.col("a.i")
+    earlier = (F.col("a.doc_id") < F.col("x.doc_id")) | ((F.col("a.doc_id") == F.col("x.doc_id")) & (F.col("a.line_no") < F.col("x.line_no")))
     length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     position = 9 * F.least(n - i, m - j) >= 4 * (n + m)
-    return length & position & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{other}.parity"))) <= n + m)
+    parity = 9 * F.bit_count(F.col("x.parity").bitwiseXOR(F.col("a.parity"))) <= n + m
+    key = [F.col(f"x.{c}").alias(c) for c in LINE] + [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")]
+    return rows.where(earlier & length & position & parity).groupBy(*key).agg(F.count("*").alias("shared"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of a line and an earlier one, with the number of lists that both are in."""
-    earlier = F.struct("a.doc_id", "a.line_no") < F.struct(*LINE)
-    return rows.where(earlier & _possible("a")).groupBy(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).agg(F.count("*").alias("shared"))
+def _short() -> Column:
+    return F.col("token") < (LIST_BITS + 1) << HASH_BITS
+
+
+def _in_short_lists(lines: DataFrame) -> DataFrame:
+    """Pairs in lists of under 2 ** LIST_BITS lines. Both sides are one and the same shuffle."""
+    listed = _listed(lines).where(_short())
+    x, a = listed.alias("x"), listed.alias("a")
+    return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
 
 
 def _with_heads(lines: DataFrame) -> DataFrame:
-    """Pairs of a line with the head of each list, or of its part of a long one, and with the few lines just before it there."""
-    part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, {HASH_BITS}) as int) - {LIST_BITS}, 0)))")
+    """Pairs in parts of long lists: of a line with the part's head, and with the few lines just before it there."""
+    part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, {HASH_BITS}) as int) - {PART_BITS}, 0)))")
     in_part = Window.partitionBy("token", "part").orderBy(*LINE)
-    entry = F.struct(*ENTRY)
+    entry = F.struct(*LINE, "n", "i", "parity")
     head = F.first(entry).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = F.array(head, *[F.lag(entry, k).over(in_part) for k in range(1, BEFORE + 1)])
-    return _pairs(_listed(lines).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null"))
+    return _pairs(_listed(lines).where(~_short()).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
 
 
-def _with_earlier(lines: DataFrame, settled: DataFrame, share: int) -> DataFrame:
-    """Pairs of an unsettled line and one earlier in one of its lists."""
-    mine = F.pmod("token", F.lit(SHARES)) == share
-    earlier = _listed(lines).where(mine).select("token", F.struct(*ENTRY).alias("a"))
-    rest = _listed(lines.join(settled, LINE, "left_anti")).where(mine)
-    return _pairs(rest.join(earlier, "token"))
+def _in_long_lists(lines: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of an unsettled line and any earlier one in one of its long lists."""
+    earlier, rest = _listed(lines), _listed(lines.join(settled, LINE, "left_anti"))
+    x, a = rest.where(~_short()).alias("x"), earlier.where(~_short()).alias("a")
+    return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -140,13 +147,13 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     Each line's likeliest pair is tried first, and the others only if that one fails.
     """
     wanted = pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct()
-    found = durable_table(lines.select(*LINE, "line").join(wanted, LINE, "left_semi"), "lines-compared")
-    mine = found.select(*LINE, words_of("line").alias("a"))
-    other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), words_of("line").alias("b"))
-    similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")))
+    hashes = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
+    found = durable_table(lines.select(*LINE, "line").join(wanted, LINE, "left_semi").select(*LINE, hashes.alias("a")), "lines-compared")
+    other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("a").alias("b"))
+    similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(mine, LINE).join(other, ["a_doc", "a_line"])
+        both = pairs.join(found, LINE).join(other, ["a_doc", "a_line"])
         return durable_table(both.where(similar).select(*LINE).distinct(), "lines-matched")
 
     likeliest = pairs.groupBy(*LINE).agg(F.max(F.struct("shared", "a_doc", "a_line")).alias("a")).select(*LINE, "a.a_doc", "a.a_line")
@@ -160,13 +167,13 @@ def kept_lines(texts: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines with words that match no earlier one."""
     rarity = durable_table(_rarity(texts), "lines-rarity")
     lines = durable_table(_distinct(_lines(texts), rarity), "lines-distinct")
-    near = durable_table(_with_heads(lines), "lines-near")
+    near = _in_short_lists(lines).union(_with_heads(lines)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
+    near = durable_table(near, "lines-near")
     settled = _verified(near, lines)
-    shares = [durable_table(_with_earlier(lines, settled, k), "lines-earlier") for k in range(SHARES)]
-    pairs = reduce(DataFrame.union, shares).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
-    more = _verified(pairs, lines)
+    rest = durable_table(_in_long_lists(lines, settled), "lines-rest")
+    more = _verified(rest, lines)
     kept = durable_table(lines.select(*LINE).join(settled.union(more), LINE, "left_anti").distinct(), "lines-kept")
-    discard(rarity, lines, near, *shares)
+    discard(rarity, lines, near, rest)
     return kept
 
 
