@@ -16,8 +16,8 @@ part's earliest line, its head, and with the BEFORE lines before it. Where copie
 nearly all in a few comparisons per line, so a group of copies never becomes all of its pairs. Lines
 not settled so are then joined with all that stands earlier in their long lists, whatever the parts;
 Spark splits lists there that are very long. Filters come before texts are looked up: length,
-position in the list, and the parity of tokens over 64 hash slots (a bit that differs is a token
-that differs). The similarity is computed on 64-bit hashes of all words, first for each line's pair
+position in the list, the parity of tokens over 64 hash slots (a bit that differs is a token that
+differs), and how many short lists the two have in common. The similarity is computed on 64-bit hashes of all words, first for each line's pair
 with most lists in common.
 
 Lists carry numbers only; the lines of pairs that passed all filters are looked up once for all of
@@ -41,6 +41,8 @@ HASH_BITS = 37
 LIST_BITS = 8
 PART_BITS = 6
 BEFORE = 3
+#: Tokens from here on have long lists.
+LONG = (LIST_BITS + 1) << HASH_BITS
 HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
 
@@ -76,8 +78,9 @@ def _rarity(texts: DataFrame) -> DataFrame:
 
 
 def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line, n, parity, prefix)`` of each different line, where it stands first.
+    """``(doc_id, line_no, line, n, parity, prefix, known, limit)`` of each different line, where it stands first.
 
+    ``known`` of the prefix have short lists, and up to ``limit`` (the upper bits of a token) the line has no others.
     A token is a number of 44 bits, as many as lists need: its magnitude, then its hash. The array of
     magnitudes is a scalar, not a column of each row.
     """
@@ -91,18 +94,23 @@ def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("n", F.size("tokens"))
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    return tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
+    listed = tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
+    listed = listed.withColumn("known", F.size(F.filter("prefix", lambda t: t < LONG)))
+    last = F.when(F.col("known") < F.size("prefix"), F.lit(LONG)).otherwise(F.element_at("prefix", -1))
+    return listed.withColumn("limit", F.shiftright(last, 20).cast("int"))
 
 
 def _listed(lines: DataFrame) -> DataFrame:
-    """A row for each token in a line's prefix: ``token, doc_id, line_no, n, i, parity``."""
-    return lines.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "token"))
+    """A row for each token in a line's prefix."""
+    return lines.select(*LINE, "n", "parity", "known", "limit", F.posexplode("prefix").alias("i", "token"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, counted: bool = False) -> DataFrame:
     """Distinct pairs of a line ``x`` and an earlier one ``a``, with the number of lists that both are in.
 
-    Filters on length, position (the i-th tokens are the first in common) and parity.
+    Filters on length, position (the i-th tokens are the first in common) and parity. If ``counted``,
+    rows are of all short lists: then, of the tokens up to the lower of the two limits, just as many
+    are in common as there are lists, and a pair goes whose other tokens would not make up for the rest.
     """
     n, m, i, j = F.col("x.n"), F.col("a.n"), F.col("x.i"), F.col("a.i")
     earlier = (F.col("a.doc_id") < F.col("x.doc_id")) | ((F.col("a.doc_id") == F.col("x.doc_id")) & (F.col("a.line_no") < F.col("x.line_no")))
@@ -110,18 +118,21 @@ def _pairs(rows: DataFrame) -> DataFrame:
     position = 9 * F.least(n - i, m - j) >= 4 * (n + m)
     parity = 9 * F.bit_count(F.col("x.parity").bitwiseXOR(F.col("a.parity"))) <= n + m
     key = [F.col(f"x.{c}").alias(c) for c in LINE] + [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")]
-    return rows.where(earlier & length & position & parity).groupBy(*key).agg(F.count("*").alias("shared"))
-
-
-def _short() -> Column:
-    return F.col("token") < (LIST_BITS + 1) << HASH_BITS
+    good = rows.where(earlier & length & parity)
+    if not counted:
+        return good.where(position).groupBy(*key).agg(F.count("*").alias("shared"))
+    mine, other = n - F.col("x.known"), m - F.col("a.known")
+    lower = F.when(F.col("x.limit") < F.col("a.limit"), mine).when(F.col("x.limit") > F.col("a.limit"), other).otherwise(F.greatest(mine, other))
+    wanted = good.select(*key, (4 * (n + m) - 9 * lower).alias("wanted"), position.alias("position"))
+    agreed = wanted.groupBy(*LINE, "a_doc", "a_line").agg(F.count("*").alias("shared"), F.max("wanted").alias("wanted"), F.max("position").alias("position"))
+    return agreed.where("position and 9 * shared >= wanted").select(*LINE, "a_doc", "a_line", "shared")
 
 
 def _in_short_lists(lines: DataFrame) -> DataFrame:
     """Pairs in lists of under 2 ** LIST_BITS lines. Both sides are one and the same shuffle."""
-    listed = _listed(lines).where(_short())
+    listed = _listed(lines).where(F.col("token") < LONG)
     x, a = listed.alias("x"), listed.alias("a")
-    return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
+    return _pairs(x.join(a, F.col("x.token") == F.col("a.token")), counted=True)
 
 
 def _with_heads(lines: DataFrame) -> DataFrame:
@@ -131,13 +142,13 @@ def _with_heads(lines: DataFrame) -> DataFrame:
     entry = F.struct(*LINE, "n", "i", "parity")
     head = F.first(entry).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = F.array(head, *[F.lag(entry, k).over(in_part) for k in range(1, BEFORE + 1)])
-    return _pairs(_listed(lines).where(~_short()).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
+    return _pairs(_listed(lines).where(F.col("token") >= LONG).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
 
 
 def _in_long_lists(lines: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of an unsettled line and any earlier one in one of its long lists."""
     earlier, rest = _listed(lines), _listed(lines.join(settled, LINE, "left_anti"))
-    x, a = rest.where(~_short()).alias("x"), earlier.where(~_short()).alias("a")
+    x, a = rest.where(F.col("token") >= LONG).alias("x"), earlier.where(F.col("token") >= LONG).alias("a")
     return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
 
 
