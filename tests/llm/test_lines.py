@@ -75,3 +75,14 @@ def test_repeated_rows_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = lines.line_digest(frame(spark, [(1, "a b")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_long_lists(spark, monkeypatch):
+    """The same result where nearly all lists count as long, and where a group of near copies is in long lists."""
+    monkeypatch.setattr(lines, "LIST_BITS", (1, 1))
+    monkeypatch.setattr(lines, "PART_BITS", 2)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(30)]
+    near = [(1000 + i, " ".join(w if rng.random() > 0.06 else f"v{rng.randrange(500)}" for w in base)) for i in range(80)]
+    rows = corpus(3) + near
+    assert {(r.doc_id, r.line_no) for r in lines.later_matches(frame(spark, rows)).collect()} == brute(rows)

@@ -10,9 +10,9 @@ have to be joined to every word; any such order is right, and rare tokens first
 short. A line of n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match
 share one of them.
 
-A list whose token's magnitude says that it holds under 2 ** LIST_BITS lines is compared whole. A
-longer one is dealt out in parts of about 2 ** PART_BITS lines, in which a line is compared with the
-part's earliest line, its head, and with the BEFORE lines before it. Where copies vary, that finds
+A list whose token's magnitude says that it is not long is compared whole. A long one is dealt out in
+parts of about 2 ** PART_BITS lines, in which a line is compared with the part's earliest line, its
+head, and with the BEFORE lines before it. Where copies vary, that finds
 nearly all in a few comparisons per line, so a group of copies never becomes all of its pairs. Lines
 not settled so are then joined with all that stands earlier in their long lists, whatever the parts;
 Spark splits lists there that are very long. Filters come before texts are looked up: length,
@@ -31,6 +31,8 @@ with the same number are not later than one another and go only together; other
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ from tidegauge.llm._shared import discard, durable_table, masked, without
 
 SLOT_BITS = 18
 HASH_BITS = 37
-LIST_BITS = 8
+#: Lists are long from a 2 ** -SHARE_BITS share of all words on, but never under the first nor over the second of these powers of two.
+SHARE_BITS, LIST_BITS = 17, (6, 11)
 PART_BITS = 6
 BEFORE = 3
-#: Tokens from here on have long lists.
-LONG = (LIST_BITS + 1) << HASH_BITS
+#: Long lists are joined in so many shares of their tokens, one after the other, so that their shuffles take less disk.
+SHARES = 2
 HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
 
@@ -69,15 +72,23 @@ def _slot(word: Column) -> Column:
 
 def _rarity(texts: DataFrame) -> DataFrame:
     """One row, one array: for each slot, the order of magnitude of how often its tokens occur, above the 37 bits of a hash."""
-    words = texts.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("w"))
+    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
     sizes = counts.select("slot", F.shiftleft(F.floor(F.log2("n")).cast("long") + 1, HASH_BITS).alias("size"))
     every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("size"))
+    # words apart by other white space than these are counted as one, which only makes the order a little less good
     filled = sizes.union(every).groupBy("slot").agg(F.max("size").alias("size"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
-def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
+def _long_from(texts: DataFrame) -> int:
+    """The token from which on lists are long, by the number of spaces in all texts."""
+    spaces = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n")).first()["n"] or 0
+    bits = min(max(int(spaces).bit_length() - 1 - SHARE_BITS, LIST_BITS[0]), LIST_BITS[1])
+    return (bits + 1) << HASH_BITS
+
+
+def _distinct(lines: DataFrame, rarity: DataFrame, long: int) -> DataFrame:
     """``(doc_id, line_no, line, n, parity, prefix, known, limit)`` of each different line, where it stands first.
 
     ``known`` of the prefix have short lists, and up to ``limit`` (the upper bits of a token) the line has no others.
@@ -95,8 +106,8 @@ def _distinct(lines: DataFrame, rarity: DataFrame) -> DataFrame:
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
     listed = tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
-    listed = listed.withColumn("known", F.size(F.filter("prefix", lambda t: t < LONG)))
-    last = F.when(F.col("known") < F.size("prefix"), F.lit(LONG)).otherwise(F.element_at("prefix", -1))
+    listed = listed.withColumn("known", F.size(F.filter("prefix", lambda t: t < long)))
+    last = F.when(F.col("known") < F.size("prefix"), F.lit(long)).otherwise(F.element_at("prefix", -1))
     return listed.withColumn("limit", F.shiftright(last, 20).cast("int"))
 
 
@@ -128,27 +139,27 @@ def _pairs(rows: DataFrame, counted: bool = False) -> DataFrame:
     return agreed.where("position and 9 * shared >= wanted").select(*LINE, "a_doc", "a_line", "shared")
 
 
-def _in_short_lists(lines: DataFrame) -> DataFrame:
-    """Pairs in lists of under 2 ** LIST_BITS lines. Both sides are one and the same shuffle."""
-    listed = _listed(lines).where(F.col("token") < LONG)
+def _in_short_lists(lines: DataFrame, long: int) -> DataFrame:
+    """Pairs in lists that are not long. Both sides are one and the same shuffle."""
+    listed = _listed(lines).where(F.col("token") < long)
     x, a = listed.alias("x"), listed.alias("a")
     return _pairs(x.join(a, F.col("x.token") == F.col("a.token")), counted=True)
 
 
-def _with_heads(lines: DataFrame) -> DataFrame:
+def _with_heads(lines: DataFrame, long: int) -> DataFrame:
     """Pairs in parts of long lists: of a line with the part's head, and with the few lines just before it there."""
     part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, {HASH_BITS}) as int) - {PART_BITS}, 0)))")
     in_part = Window.partitionBy("token", "part").orderBy(*LINE)
     entry = F.struct(*LINE, "n", "i", "parity")
     head = F.first(entry).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = F.array(head, *[F.lag(entry, k).over(in_part) for k in range(1, BEFORE + 1)])
-    return _pairs(_listed(lines).where(F.col("token") >= LONG).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
+    return _pairs(_listed(lines).where(F.col("token") >= long).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
 
 
-def _in_long_lists(lines: DataFrame, settled: DataFrame) -> DataFrame:
+def _in_long_lists(lines: DataFrame, settled: DataFrame, long: int, share: int) -> DataFrame:
     """Pairs of an unsettled line and any earlier one in one of its long lists."""
-    earlier, rest = _listed(lines), _listed(lines.join(settled, LINE, "left_anti"))
-    x, a = rest.where(F.col("token") >= LONG).alias("x"), earlier.where(F.col("token") >= LONG).alias("a")
+    mine = (F.col("token") >= long) & (F.pmod("token", F.lit(SHARES)) == share)
+    x, a = _listed(lines.join(settled, LINE, "left_anti")).where(mine).alias("x"), _listed(lines).where(mine).alias("a")
     return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
 
 
@@ -177,14 +188,15 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def kept_lines(texts: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines with words that match no earlier one."""
     rarity = durable_table(_rarity(texts), "lines-rarity")
-    lines = durable_table(_distinct(_lines(texts), rarity), "lines-distinct")
-    near = _in_short_lists(lines).union(_with_heads(lines)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
+    long = _long_from(texts)
+    lines = durable_table(_distinct(_lines(texts), rarity, long), "lines-distinct")
+    near = _in_short_lists(lines, long).union(_with_heads(lines, long)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
     near = durable_table(near, "lines-near")
     settled = _verified(near, lines)
-    rest = durable_table(_in_long_lists(lines, settled), "lines-rest")
-    more = _verified(rest, lines)
+    shares = [durable_table(_in_long_lists(lines, settled, long, k), "lines-rest") for k in range(SHARES)]
+    more = _verified(reduce(DataFrame.union, shares).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared")), lines)
     kept = durable_table(lines.select(*LINE).join(settled.union(more), LINE, "left_anti").distinct(), "lines-kept")
-    discard(rarity, lines, near, rest)
+    discard(rarity, lines, near, *shares)
     return kept
 
 
