@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import stored
+
 MERGE, REVIEW = 1.0, 0.4
 
 
@@ -64,21 +66,22 @@ def merge_verdicts(requests: DataFrame, games: DataFrame, merges: DataFrame) ->
     return flagged.select("from_id", "into_id", verdict.alias("verdict"))
 
 
-def reachable_from(edges: DataFrame, start: int, checkpoint_every: int = 4) -> DataFrame:
-    """Nodes that referrals reach, with the fewest steps: a frontier joined until it is empty; cycles end."""
+def reachable_from(edges: DataFrame, start: int) -> DataFrame:
+    """Nodes that referrals reach, with the fewest steps: a frontier joined until it is empty; cycles end.
+
+    Each frontier is computed once and stored, so a round costs the same however many went before.
+    """
     spark = edges.sparkSession
     known = spark.createDataFrame([(start, 0)], "node long, depth int")
     frontier, depth = known, 0
-    links = edges.select(F.col("from_id").cast("long").alias("node"), F.col("to_id").cast("long").alias("next")).distinct().cache()
+    links = stored(edges.select(F.col("from_id").cast("long").alias("node"), F.col("to_id").cast("long").alias("next")).distinct())
     while True:
         depth += 1
         found = frontier.join(links, "node").select(F.col("next").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        frontier = found.withColumn("depth", F.lit(depth)).cache()
+        frontier = stored(found.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
-        if depth % checkpoint_every == 0 and spark.sparkContext.getCheckpointDir() is not None:
-            known = known.checkpoint()
 
 
 def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -100,7 +103,18 @@ def referral_verdicts(edges: DataFrame, known: DataFrame, fan_out: int = 50, dee
 
 
 def unique_slugs(rows: DataFrame, slug: Column, taken: DataFrame) -> DataFrame:
-    """Slugs made unique in id order: the first keeps its own unless taken, later ones get -2, -3, …"""
-    stem = rows.withColumn("stem", slug).join(taken.select(F.col("slug").alias("stem"), F.lit(1).alias("used")).distinct(), "stem", "left")
+    """``(id, slug)``: slugs made unique in id order; the first row of a stem keeps it, unless taken, and later ones get -2, -3, …
+
+    A number is passed over if the slug with it is taken, or is some row's own.
+    """
+    own = rows.select("id", slug.alias("stem"))
+    used = taken.select("slug").union(own.select("stem")).distinct()
+    # numbers of a stem that are spoken for: what is taken, or another row's own, and reads stem-<number>
+    numbered = used.select(F.regexp_extract("slug", r"^(.*)-[1-9][0-9]*$", 1).alias("stem"), F.regexp_extract("slug", r"^.*-([1-9][0-9]*)$", 1).try_cast("long").alias("number")).where("number >= 2")
+    gone = numbered.groupBy("stem").agg(F.sort_array(F.collect_set("number")).alias("gone"))
+    first = own.join(taken.select(F.col("slug").alias("stem"), F.lit(1).alias("used")).distinct(), "stem", "left").join(gone, "stem", "left")
     nth = F.row_number().over(Window.partitionBy("stem").orderBy("id")) + F.coalesce("used", F.lit(0))
-    return stem.withColumn("nth", nth).select("id", F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("nth").cast("string"))).alias("slug"))
+    # each spoken-for number at or below the running one moves it up by one
+    moved = F.aggregate(F.coalesce("gone", F.array().cast("array<bigint>")), F.col("nth").cast("long"), lambda n, g: F.when(g <= n, n + 1).otherwise(n))
+    out = first.withColumn("nth", nth).withColumn("number", moved)
+    return out.select("id", F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("number").cast("string"))).alias("slug"))

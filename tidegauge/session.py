@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that ``spark.checkpoint.dir`` names; a temporary one only where Spark runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def session(app: str = "tidegauge", master: str | None = None, **conf: str) -> SparkSession:
