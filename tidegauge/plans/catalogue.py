@@ -242,7 +242,7 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
     return identity.redirects(C.merges(spark, d), C.games(spark, d))
 
 
-_REQUESTS = "SELECT o_custkey AS from_id, o_orderkey % 1600 AS into_id FROM orders WHERE o_orderkey % 10 = 0"
+_REQUESTS = "SELECT o_custkey AS from_id, o_orderkey % 1600 AS into_id FROM orders"
 
 
 @query(C.sql("game") + f""", request AS ({_REQUESTS})
@@ -250,7 +250,7 @@ SELECT from_id, into_id, CASE WHEN from_id = into_id THEN 'self' WHEN from_id NO
   WHEN from_id IN (SELECT from_game_id FROM merge_log) THEN 'already_absorbed'
   WHEN into_id IN (SELECT from_game_id FROM merge_log) OR from_id IN (SELECT into_game_id FROM merge_log) THEN 'chain' ELSE 'merged' END AS verdict FROM request""")
 def merge_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    requests = C.table(spark, d, "orders").where("o_orderkey % 10 = 0").selectExpr("o_custkey AS from_id", "o_orderkey % 1600 AS into_id")
+    requests = C.table(spark, d, "orders").selectExpr("o_custkey AS from_id", "o_orderkey % 1600 AS into_id")
     return identity.merge_verdicts(requests, C.games(spark, d), C.merges(spark, d))
 
 

@@ -105,11 +105,11 @@ def heatmap(spark: SparkSession, d: str) -> DataFrame:
     return P.heatmap(C.presence(spark, d), NOW)
 
 
-@query(C.sql("presence") + _CELLS.replace("GROUP BY ALL", "WHERE user_one GROUP BY ALL").replace("FROM presence", "FROM (SELECT *, game_id % 10 = 1 AS user_one FROM presence)") + """
+@query(C.sql("presence") + _CELLS + """
 SELECT CAST(g.id // 24 AS INT) AS dow, CAST(g.id % 24 AS INT) AS hod, samples, mean FROM range(168) AS g(id)
 LEFT JOIN cell ON cell.dow = g.id // 24 AND cell.hod = g.id % 24""")
 def heatmap_dense_grid(spark: SparkSession, d: str) -> DataFrame:
-    return P.dense_grid(P.heatmap(C.presence(spark, d).where("game_id % 10 = 1"), NOW))
+    return P.dense_grid(P.heatmap(C.presence(spark, d), NOW))
 
 
 _DIGEST = """, digest AS (
