@@ -201,7 +201,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     notes = keys.join(groups, "digest").where("page_id is not null").select("page_id", "digest", "refers_to").distinct()
     records = rows.withColumn("digest", F.sha1("payload")).withColumn("note", F.lit(1)).withColumn("refers_to", F.lit(None).cast("long"))
     notes = notes.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).alias("note"), "refers_to")
-    dealt = records.unionByName(notes).withColumn("shard", shard).repartition(max(1, len(starts)), "shard")
+    dealt = records.unionByName(notes).withColumn("shard", shard).repartitionById(max(1, len(starts)), F.col("shard"))
     ordered = dealt.sortWithinPartitions("shard", "page_id", "digest", "note", "url")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
