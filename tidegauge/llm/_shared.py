@@ -75,6 +75,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name like ``stem`` that no column of ``df`` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def masked(df: DataFrame, *needed: str) -> DataFrame:
     """``df`` with all but the needed columns under names that no operator uses; ``toDF`` undoes it."""
     return df.toDF(*[c if c in needed else f"__column{i}" for i, c in enumerate(df.columns)])

@@ -5,8 +5,8 @@ Nonnegative document rates are then fitted by projected gradient descent, so tha
 expected of each domain, sum over documents of rate * tokens * posterior, meet the targets in the
 sense of least squares, relative to each target.
 
-A rate depends on its document's posteriors and on the residuals of all steps so far, which are a
-few numbers each; so a step is one aggregation, in which each row works out its own rate. The
+A rate depends on its document's posteriors and on all steps so far, which are a few numbers each;
+so a step is one aggregation, in which each row works out its own rate. The
 rates start at 1 and stay as near to it as the targets let them, as descent moves only within the
 span of the posteriors.
 
@@ -17,11 +17,13 @@ broadcast is of fixed size.
 Defined cases: null and empty texts have no tokens, even posteriors and rate 1; labels that are
 null are ignored; a document labelled twice has its least quality and highest toxicity; without
 labelled rows, or in a domain without any, posteriors are even; a target for a domain
-without tokens cannot be met and is left out; repeated rows have a rate each.
+without tokens cannot be met and is left out; a target of 0 counts by the tokens that are there;
+repeated rows have a rate each; rows that share an id and a rate stay or go together.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +33,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm._shared import durable_table, masked, without
+from tidegauge.llm._shared import durable_table, fresh, masked, without
 
 DOMAINS = ("good", "poor", "toxic")
 FEATURES = 1 << 14
 SAMPLE = 20_000
 ROUNDS = 60
-STEPS = 40
-TOLERANCE = 1e-6
-#: Tokens wanted of each domain, in units of what there is: good text is seen a quarter more often.
-WANTED = {"good": 1.25, "poor": 1.0, "toxic": 1.0}
+#: Tasks over the sample, however many the documents had: each sends one gradient a round.
+SAMPLE_TASKS = 8
+TOLERANCE = 1e-4
+#: A step that lowers the sum of squares by less than this share is the last.
+STANDSTILL = 1e-3
+#: A target missed by more than this share is told.
+MISS = 0.01
+#: Tokens wanted of each domain, in units of what there is: more of all, and most of good text.
+WANTED = {"good": 1.3, "poor": 1.1, "toxic": 1.1}
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -84,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain"))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(known), "doc_id")
-    rows = durable_table(texts.select("raw", "domain").mapInArrow(_sparse, "slots array<long>, weights array<double>, domain int"), "mixing-sample")
+    rows = durable_table(texts.select("raw", "domain").mapInArrow(_sparse, "slots array<long>, weights array<double>, domain int"), "mixing-sample").coalesce(SAMPLE_TASKS)
     counts = {r.domain: r.n for r in rows.where("size(slots) > 0").groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None, even
@@ -129,20 +136,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def with_posteriors(docs: DataFrame, weights: np.ndarray | None, bias: np.ndarray) -> DataFrame:
     """``docs`` less the text, with ``tokens`` and a posterior ``p_<domain>`` for each domain."""
     names = ["tokens", *[f"p_{d}" for d in DOMAINS]]
-    docs = without(docs, *names, "raw")
+    docs = without(docs, *names)
+    own = fresh(docs, "raw")
     shared = docs.sparkSession.sparkContext.broadcast((None if weights is None else weights.astype(np.float32), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         for batch in batches:
-            found = [_posteriors(x, w, b) for x in batch.column("raw").to_pylist()]
+            found = [_posteriors(x, w, b) for x in batch.column(own).to_pylist()]
             p = np.array([f[0] for f in found]).reshape(-1, len(b))
             new = [pa.array([f[1] for f in found], pa.int64()), *[pa.array(np.ascontiguousarray(p[:, d])) for d in range(len(b))]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *names])
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("binary").alias(own)).mapInArrow(run, schema)
 
 
 def _rate(history: list[list[float]], least: float) -> Column:
@@ -155,28 +163,46 @@ def _rate(history: list[list[float]], least: float) -> Column:
 def fit_rates(rows: DataFrame, wanted: dict[str, float] | None = None, least: float = 0.0) -> tuple[Column, dict[str, tuple[float, float]]]:
     """The rate as a column over ``with_posteriors`` rows, and (target, reached) tokens by domain.
 
-    Each step is projected onto rates of ``least`` (0 to 1) or more.
+    Each step goes down the gradient and is projected onto rates of ``least`` or more. Its length in
+    each direction comes from the products of the posteriors of rows above ``least``, damped: a
+    step that does not lower the sum of squares is tried again with ten times the damping, which in
+    the end is a short step down the plain gradient. It ends where every target is met to TOLERANCE
+    or where no step helps, as with targets that no rates can meet; then the squares are least.
     """
     wanted = wanted or WANTED
-    share = lambda d, r: F.sum(r * F.col("tokens") * F.col(f"p_{d}"))
-    squares = [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS]
-    first = rows.agg(*[share(d, F.lit(1.0)).alias(d) for d in DOMAINS], *squares).first()
-    have = np.array([first[d] or 0.0 for d in DOMAINS])
+    n = len(DOMAINS)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+
+    def totals(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens reached by domain, and products of posteriors, by tokens, over rows that can move down (at first, all)."""
+        rated = rows.where("tokens > 0").select("tokens", *p, (_rate(history, least) if history else F.lit(1.0)).alias("rate"))
+        free = F.when(F.col("rate") > least, F.col("tokens")).otherwise(0) if history else F.col("tokens")
+        sums = [F.sum(F.col("rate") * F.col("tokens") * x) for x in p] + [F.sum(free * p[a] * p[b]) for a in range(n) for b in range(n)]
+        found = np.array([x or 0.0 for x in rated.agg(*[x.alias(f"s{k}") for k, x in enumerate(sums)]).first()])
+        return found[:n], found[n:].reshape(n, n)
+
+    have, gram = totals([])
     target = have * np.array([wanted.get(d, 1.0) for d in DOMAINS])
-    weight = np.where(target > 0, 1 / np.maximum(target, 1e-9), 0.0)
-    gram = np.array([[first[f"{a}_{b}"] or 0.0 for b in DOMAINS] for a in DOMAINS])
-    root = np.sqrt(weight)
-    largest = float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max()) or 1.0
+    weight = np.where(have > 0, 1 / np.maximum(np.maximum(target, have), 1e-9) ** 2, 0.0)
+    squares = lambda reached: float(((reached - target) ** 2 * weight).sum())
     history: list[list[float]] = []
-    reached = have
-    for _ in range(STEPS):
-        residual = reached - target
-        if np.max(np.abs(residual) * weight, initial=0.0) < TOLERANCE:
-            break
-        history.append([float(x) for x in residual * weight / largest])
-        now = rows.agg(*[share(d, _rate(history, least)).alias(d) for d in DOMAINS]).first()
-        reached = np.array([now[d] or 0.0 for d in DOMAINS])
+    reached, damping = have, 1e-6
+    gain = 1.0
+    while np.sqrt(squares(reached)) > TOLERANCE and damping < 1e4 and gain > STANDSTILL:
+        scale = np.diag(weight)
+        largest = max(float(np.trace(scale @ gram)), 1e-30)
+        step = np.linalg.solve(scale @ gram + damping * largest * np.eye(n), scale @ (reached - target))
+        tried, free = totals([*history, step.tolist()])
+        if squares(tried) < squares(reached):
+            history.append([float(x) for x in step])
+            gain = 1 - squares(tried) / squares(reached)
+            reached, gram, damping = tried, free, max(damping / 10, 1e-9)
+        else:
+            damping *= 10
     rate = F.when(F.col("tokens") > 0, _rate(history, least)).otherwise(1.0) if history else F.lit(1.0)
+    missed = {d: (float(target[k]), float(reached[k])) for k, d in enumerate(DOMAINS) if abs(reached[k] - target[k]) > MISS * max(target[k], have[k])}
+    if missed:
+        warnings.warn(f"no rates of {least} or more meet these targets (wanted, reached): {missed}", stacklevel=2)
     return rate, {d: (float(target[k]), float(reached[k])) for k, d in enumerate(DOMAINS)}
 
 
@@ -187,11 +213,11 @@ def document_rates(docs: DataFrame, labels: DataFrame, wanted: dict[str, float]
     return rows.withColumn("rate", rate)
 
 
-def mix(docs: DataFrame, labels: DataFrame, wanted: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, wanted: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """``docs``, each row as often as its rate says: the whole part, and once more by a hash of its id.
 
-    At a ``least`` of 1 every row stays, and targets are met as nearly as repeats alone can; below
-    1, a rate under 1 is the chance that its document stays.
+    A rate under 1 is the chance that its document stays; at a ``least`` of 1 every row stays, and
+    targets are met as nearly as repeats alone can.
     """
     hidden = masked(docs, "doc_id", "text")
     weights, bias = fit(hidden, labels)
