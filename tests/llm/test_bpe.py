@@ -98,3 +98,9 @@ def test_limits_resist_insertions():
         for limits in (a, b):
             assert limits == sorted(set(limits))
     assert least_limits(b"", 24) == [0] and least_limits(b"ab" * 5, 24) == [0, 10] and mask_limits(b"", 64) == [0]
+
+
+def test_a_column_named_raw_passes_through(spark):
+    frame = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, raw string")
+    row = bpe.encode_documents(frame).first()
+    assert row.raw == "x" and row.decoded and set(row.asDict()) == {"doc_id", "text", "raw", "ids", "decoded"}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm._shared import without
+from tidegauge.llm._shared import fresh, without
 from tidegauge.llm.chunks import mask_limits
 
 CHUNK = 512
@@ -146,14 +146,14 @@ def encode(raws: list[bytes], encoder: Encoder, dictionary: dict[bytes, Shared])
     return out
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("raw").to_pylist()]
+def _texts(batch: pa.RecordBatch, column: str = "raw") -> list[bytes]:
+    return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about SLICE_BYTES of text, so that what they encode to takes bounded memory."""
     for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
@@ -225,14 +225,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
     added = RESULTS
     if digests:
         added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    docs = without(docs, *[f.name for f in added], "raw")
-    raw = F.col("text").cast("binary").alias("raw")
-    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs.select(raw), path))
+    docs = without(docs, *[f.name for f in added])
+    raw = F.col("text").cast("binary")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs.select(raw.alias("raw")), path))
+    own = fresh(docs, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in _slices(batches):
-            found = encode(_texts(batch), encoder, shared.value)
+        for batch in _slices(batches, own):
+            found = encode(_texts(batch, own), encoder, shared.value)
             if digests:
                 new = [
                     pa.array([len(i) // 4 for i, _ in found], pa.int64()),
@@ -244,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *[f.name for f in added]])
 
     kept = [f for f in docs.schema.fields if not (digests and f.name == "text")]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], raw)
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], raw.alias(own))
     return rows.mapInArrow(run, T.StructType([*kept, *added]))
 
 

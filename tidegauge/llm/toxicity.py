@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm._shared import durable, masked, without
+from tidegauge.llm._shared import durable, fresh, masked, without
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -233,16 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 22):
     return shared, *(_fit_curve(points) if points else (1.0, 0.0))
 
 
-def apply_means(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with ``evidence`` (logarithm, per word); ``model`` is a broadcast :class:`Model`."""
+def apply_means(docs: DataFrame, model, name: str = "evidence") -> DataFrame:
+    """``docs`` with evidence (logarithm, per word) as the column ``name``; ``model`` is a broadcast :class:`Model`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             means = model.value.means(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means)], names=[*batch.schema.names, "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means)], names=[*batch.schema.names, name])
 
-    docs = without(docs, "evidence")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType())]))
+    docs = without(docs, name)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -253,9 +253,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     if model is None:
         return out.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     shared, slope, offset = model
-    scored = apply_means(out, shared)
-    score = 1.0 / (1.0 + F.exp(-(F.col("evidence") * slope + offset)))
-    return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("evidence")
+    name = fresh(out, "evidence")
+    scored = apply_means(out, shared, name)
+    score = 1.0 / (1.0 + F.exp(-(F.col(name) * slope + offset)))
+    return scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(name)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
