@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm._shared import durable_table
+from tidegauge.llm._shared import discard, durable_table
 from tidegauge.llm.bpe import encode_documents
 from tidegauge.llm.lines import remove_later_matches
 from tidegauge.llm.mixing import mix
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat as the target weights of the domains ask."""
+    """Documents repeat, or go, as nonnegative rates fitted to the target weights of the domains ask."""
     return mix(docs, table(spark, sf_dir, "labels"))
 
 
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each kept as a table before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = durable_table(docs, f"pipeline-{name.replace(' ', '-')}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
