@@ -31,11 +31,3 @@ def tombstoned(edges: DataFrame, current: DataFrame, keys: list[str]) -> DataFra
 def expired(rows: DataFrame, column: str, cutoff: str) -> DataFrame:
     """What retention keeps."""
     return rows.where(f"{column} >= {cutoff}")
-
-
-def retention_cutoffs(now: str, watermark: str, raw_days: int = 90, hour_days: int = 730) -> dict[str, str]:
-    """Age limits, but raw rows that no rollup has consumed are never beyond one."""
-    floors = {"raw": 56, "hour": 56}
-    if raw_days < floors["raw"] or hour_days < floors["hour"]:
-        raise ValueError("retention is shorter than what the heat-map reads")
-    return {"raw": f"least({now} - INTERVAL {raw_days} DAYS, {watermark})", "hour": f"{now} - INTERVAL {hour_days} DAYS"}

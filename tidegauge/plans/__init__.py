@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from tidegauge.plans import availability, catalogue, presence, readings  # noqa: F401  (importing registers)
+from tidegauge.plans import availability, catalogue, maintenance, presence, readings, streams  # noqa: F401  (importing registers)
 from tidegauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
