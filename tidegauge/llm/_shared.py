@@ -88,13 +88,31 @@ def masked(df: DataFrame, *needed: str) -> DataFrame:
     return df.toDF(*[c if c in needed else f"__column{i}" for i, c in enumerate(df.columns)])
 
 
+#: A node with over one in so many edges is looked up by broadcast: at most twice as many nodes are.
+HOT_SHARE = 1000
+
+
+def _with_least(edge: DataFrame, both: DataFrame, total: int) -> DataFrame:
+    """``edge(u, v)`` with ``m``, the least neighbour of ``u`` in ``both``, or ``u`` itself if it is less.
+
+    Rows of a node with more than ``total / HOT_SHARE`` edges stay where they are; those of all others are
+    dealt by ``u``, so that no task gets more than this share for one node.
+    """
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = least.where(is_hot).select("u", F.col("m").alias("hot_m"))
+    marked = edge.join(F.broadcast(hot), "u", "left")
+    rest = marked.where("hot_m IS NULL").select("u", "v").join(least.where(~is_hot).select("u", "m"), "u")
+    return rest.unionByName(marked.where("hot_m IS NOT NULL").select("u", "v", F.col("hot_m").alias("m")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges(a long, b long)`` in any order; returns ``(node, root)`` for nodes that are not
     their own root. Alternates large-star and small-star steps: each shrinks paths towards
-    the smallest node, group minima combine before the shuffle, and a hub of any degree is
-    only a join key, never a collected list. Every round is checkpointed.
+    the smallest node, group minima combine before the shuffle, and a hub is neither
+    collected nor dealt to one task. Every round is checkpointed.
     """
     edge = durable(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -106,13 +124,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return edge.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edge = durable(
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        large = _with_least(both.where("v > u"), both, 2 * after["n"])
+        large = durable(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_least(large, large, after["n"])
+        own = large.groupBy("u").agg(F.min("v").alias("v"))
+        edge = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).distinct())
