@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import ipaddress
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: IPv4 blocks that are not globally routable.
 RESERVED = [
@@ -36,7 +36,7 @@ def routable_ipv4(text: Column) -> Column:
     return F.when(n.isNotNull(), out)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def routable(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """For addresses of either family."""
 
@@ -50,7 +50,7 @@ def routable(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action="ignore").astype("object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def source_bucket(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """An IPv4 address itself, or the /64 of an IPv6 one."""
 
@@ -65,15 +65,11 @@ def source_bucket(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action="ignore")
 
 
-def keyed_hash(key: bytes):
-    """HMAC-SHA-256 in hexadecimal, as a column function."""
-
-    @F.pandas_udf("string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
-
-    return run
+def keyed_hash(key: bytes, text: Column) -> Column:
+    """HMAC-SHA-256 of a text's UTF-8 bytes in lower-case hexadecimal, as built-in expressions."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
 def salt_epoch(at: Column) -> Column:

@@ -43,12 +43,21 @@ def front_matter(spark: SparkSession, path: str) -> DataFrame:
 def last_value(report: Column, name: str) -> Column:
     """The last value of a variable of a report, whatever the case of its name."""
     hits = F.map_filter(report, lambda k, _: F.lower(k) == name.lower())
-    return F.element_at(F.flatten(F.map_values(hits)), -1)
+    return F.try_element_at(F.flatten(F.map_values(hits)), F.lit(-1))
 
 
 def field_observations(rows: DataFrame) -> DataFrame:
     """A probe record as facts: measured options, declared variables, and what was parsed."""
     options = F.transform(F.coalesce("offered_options", F.array().cast("array<string>")), lambda o: F.struct(F.concat(F.lit("capability."), F.lower(o), F.lit(".measured")).alias("field"), F.lit("handshake").alias("source"), F.lit("true").alias("value")))
-    declared = F.transform(F.map_entries(F.coalesce("mssp", F.create_map().cast("map<string,array<string>>"))), lambda e: F.struct(F.upper(e["key"]).alias("field"), F.lit("mssp").alias("source"), F.element_at(e["value"], -1).alias("value")))
+    declared = F.transform(F.map_entries(F.coalesce("mssp", F.create_map().cast("map<string,array<string>>"))), lambda e: F.struct(F.upper(e["key"]).alias("field"), F.lit("mssp").alias("source"), F.try_element_at(e["value"], F.lit(-1)).alias("value")))
     version = F.array_compact(F.array(F.when(F.col("version").isNotNull(), F.struct(F.lit("VERSION").alias("field"), F.lit("info").alias("source"), F.col("version").alias("value")))))
     return rows.select("host", "port", "observed_at", F.explode(F.concat(options, declared, version)).alias("f")).select("host", "port", "observed_at", "f.*").where("value <> ''")
+
+
+def decoded(payloads: DataFrame, session: str, payload: str, name: str = "text") -> DataFrame:
+    """``payloads`` with their text: UTF-8 if all of a session's payloads are valid in it, else Latin-1; NUL characters go. Null stays null."""
+    raw = F.col(payload)
+    proof = payloads.groupBy(session).agg(F.coalesce(F.bool_and(F.is_valid_utf8(raw.cast("string"))), F.lit(True)).alias("__valid"))
+    text = F.when(F.col("__valid"), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
+    joined = payloads.join(proof.withColumnRenamed(session, "__session"), F.col(session).eqNullSafe(F.col("__session")))
+    return joined.withColumn(name, F.replace(text, F.lit("\0"), F.lit(""))).drop("__valid", "__session")
