@@ -31,3 +31,36 @@ def tombstoned(edges: DataFrame, current: DataFrame, keys: list[str]) -> DataFra
 def expired(rows: DataFrame, column: str, cutoff: str) -> DataFrame:
     """What retention keeps."""
     return rows.where(f"{column} >= {cutoff}")
+
+
+def edges_upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Earliest ``first_at``, latest ``last_at``; ``present`` as the latest row has it, a new row before an old one of its time."""
+    rows = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
+    return rows.groupBy(*keys).agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max_by("present", F.struct("last_at", "is_new", "present")).alias("present"))
+
+
+def least_depth(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Targets by address: the id that was there first, and the least depth of all rows."""
+    rows = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
+    return rows.groupBy("host", "port").agg(F.min_by("id", F.struct("is_new", "id")).alias("id"), F.min("depth").alias("depth"))
+
+
+def standing_again(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old(*keys, withdrawn_at)`` after requests ``new(*keys)``: what is asked for stands, and ``is_first`` tells keys never seen. Null keys equal each other."""
+    there, asked = old.withColumn("there", F.lit(1)).withColumn("asked", F.lit(0)), new.select(*keys).withColumns({"withdrawn_at": F.lit(None).cast("timestamp_ntz"), "there": F.lit(0), "asked": F.lit(1)})
+    both = there.unionByName(asked).groupBy(*keys).agg(F.max("withdrawn_at").alias("withdrawn_at"), F.max("there").alias("there"), F.max("asked").alias("asked"))
+    return both.select(*keys, F.when(F.col("asked") == 0, F.col("withdrawn_at")).alias("withdrawn_at"), (F.col("there") == 0).alias("is_first"))
+
+
+def aliases_merged(rows: DataFrame, aliases: dict[str, str], field: str = "field") -> DataFrame:
+    """Facts under an alias go under its name: earliest first and latest last time, ``true`` if any says so."""
+    name = F.coalesce(*[F.when(F.col(field) == a, F.lit(n)) for a, n in aliases.items()], F.col(field))
+    each = rows.withColumn(field, name).groupBy("game_id", field, "source")
+    return each.agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("value").alias("value"))
+
+
+def histograms_backfilled(rolled: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """``rolled`` with the histogram rebuilt from samples, where they still are all there: where both tallies agree."""
+    again = rebuilt.select("game_id", "bucket", F.col("counted_samples").alias("again"), "count_histogram")
+    joined = rolled.join(again, ["game_id", "bucket"], "left")
+    return joined.withColumn("count_histogram", F.when(F.col("again") == F.col("counted_samples"), F.col("count_histogram"))).drop("again")
