@@ -85,3 +85,15 @@ def lint(fields: DataFrame, vocabulary: DataFrame) -> DataFrame:
     names = ["missing", "unanswered", "wrong_type", "non_standard", "answered"]
     out = rows.withColumn("finding", finding).groupBy("game_id").agg(*[F.count_if(F.col("finding") == x).alias(x) for x in names])
     return out.withColumn("meets_standard", (F.col("missing") == 0) & (F.col("wrong_type") == 0))
+
+
+def measured_protocols(fields: DataFrame) -> DataFrame:
+    """Per listing, the names of ``capability.*.measured`` facts that are true, in order, each once."""
+    name = F.upper(F.regexp_extract("field", r"^capability\.(.+)\.measured$", 1))
+    true = fields.where((F.col("value") == "true") & (name != "")).select("game_id", name.alias("protocol"))
+    return true.groupBy("game_id").agg(F.array_sort(F.collect_set("protocol")).alias("protocols"))
+
+
+def latest_change(ledger: DataFrame, field: str) -> DataFrame:
+    """Per listing, when a field, in either case, last changed."""
+    return ledger.where(F.lower("field") == field.lower()).groupBy("game_id").agg(F.max("changed_at").alias("changed_at"))

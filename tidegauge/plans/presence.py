@@ -43,11 +43,21 @@ def rollup_day(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.rollup(C.presence(spark, d), "day"), "mean_count")
 
 
-@query(C.sql("presence") + """, day_rows AS (SELECT game_id, date_trunc('day', sampled_at) AS b FROM presence GROUP BY ALL)
-SELECT rule, CAST(0 AS BIGINT) AS violations, (SELECT count(*) FROM day_rows) AS row_count
-FROM (VALUES ('some_samples'), ('extremes_iff_counted'), ('ordered'), ('on_the_bucket'), ('histogram_total')) AS r(rule)""")
+@query(C.sql("presence") + """, day_rows AS (SELECT game_id % 6 AS k, date_trunc('day', sampled_at) AS b, count(cnt) > 0 AS counted FROM presence GROUP BY game_id, date_trunc('day', sampled_at)),
+broken AS (SELECT count(*) FILTER (WHERE k = 1) AS a, count(*) FILTER (WHERE k IN (1, 2) AND counted) AS b, count(*) FILTER (WHERE k = 3 AND counted) AS c,
+  count(*) FILTER (WHERE k = 4) AS d, count(*) FILTER (WHERE k IN (1, 5) AND counted) AS e, count(*) AS n FROM day_rows)
+SELECT rule, CASE rule WHEN 'some_samples' THEN a WHEN 'extremes_iff_counted' THEN b WHEN 'ordered' THEN c WHEN 'on_the_bucket' THEN d ELSE e END AS violations, n AS row_count
+FROM broken, (VALUES ('some_samples'), ('extremes_iff_counted'), ('ordered'), ('on_the_bucket'), ('histogram_total')) AS r(rule)""")
 def rollup_constraints(spark: SparkSession, d: str) -> DataFrame:
-    return P.rollup_violations(P.rollup_with_histogram(C.presence(spark, d), "day"))
+    """Over rollups in which the rows of five in six listings break one rule or more."""
+    k = F.col("game_id") % 6
+    rolled = P.rollup_with_histogram(C.presence(spark, d), "day").withColumns({
+        "counted_samples": F.when(k == 1, 0).otherwise(F.col("counted_samples")), "unmeasurable_samples": F.when(k == 1, 0).otherwise(F.col("unmeasurable_samples")),
+        "min_count": F.when(k == 2, F.lit(None)).when((k == 3) & F.col("min_count").isNotNull(), -1).otherwise(F.col("min_count")),
+        "bucket": F.when(k == 4, F.col("bucket") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("bucket")),
+        "count_histogram": F.when(k == 5, F.create_map().cast("map<int,bigint>")).otherwise(F.col("count_histogram")),
+    })
+    return P.rollup_violations(rolled)
 
 
 @query(C.sql("presence") + " SELECT game_id, date_trunc('day', sampled_at) AS bucket, cnt AS value, count(*) AS times FROM presence WHERE cnt IS NOT NULL GROUP BY ALL")

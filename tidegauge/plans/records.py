@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import net, text
+from tidegauge.operators import fields as FD
 from tidegauge.operators import policy
 from tidegauge.plans.availability import _SPANS, spans
 from tidegauge.plans.registry import query
@@ -138,3 +139,16 @@ UNION ALL SELECT event_id, regexp_extract(entries, '(b[0-9]+\\.example)', 1), CA
 UNION ALL SELECT event_id, 'nonsense', NULL FROM l""")
 def referral_entries(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d, _LISTS).select("event_id", F.inline(text.referrals(F.col("entries"))))
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id AS game_id, upper(event_type) AS protocol FROM events WHERE event_id % 3 = 0 AND event_id % 4 > 0)
+SELECT game_id, string_agg(protocol, ',' ORDER BY protocol) AS protocols FROM f GROUP BY game_id""")
+def measured_protocols(spark: SparkSession, d: str) -> DataFrame:
+    field = "concat('capability.', event_type, CASE WHEN event_id % 3 = 0 THEN '.measured' ELSE '.declared' END) AS field"
+    facts = C.table(spark, d, "events").selectExpr("user_id AS game_id", field, "CASE WHEN event_id % 4 > 0 THEN 'true' ELSE 'false' END AS value")
+    return FD.measured_protocols(facts).withColumn("protocols", F.array_join("protocols", ","))
+
+
+@query("SELECT o_custkey AS game_id, max(o_orderdate) AS changed_at FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY o_custkey")
+def latest_change(spark: SparkSession, d: str) -> DataFrame:
+    return FD.latest_change(C.table(spark, d, "orders").selectExpr("o_custkey AS game_id", "o_orderpriority AS field", "o_orderdate AS changed_at"), "2-high")
