@@ -75,6 +75,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.byte_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_substrings": op2_substrings,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
