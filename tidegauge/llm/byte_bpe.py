@@ -7,7 +7,7 @@ ranks ask: the adjacent pair whose joined piece has the least rank first, the le
 The driver writes the model once and broadcasts it: its size is that of the vocabulary.
 
 Texts are split into pre-tokens by a pattern; a pre-token that is itself a piece is its own token,
-as the pieces need not all be reachable by merges. Each distinct pre-token of a window of text is
+as the pieces need not all be reachable by merges. Each distinct pre-token of a slice of documents is
 encoded once, and those of up to LONGEST_KEPT characters stay known to the worker, until there are
 WORDS_KEPT of them. Decoding maps ids back to byte strings and joins them. Nothing is shuffled.
 
@@ -146,20 +146,23 @@ class Codec:
         for word, ids in zip(merged, self.model.encode([byte_text(w.encode()) for w in merged], out_type=int, num_threads=1)):
             self.known[word] = tuple(ids)
 
-    def _window(self, text: str) -> list[int]:
-        words = self.split(text)
+    def _windows(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split(text) for text in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        self.learn(new)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, words)))
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
+        if new:
+            self.learn(new)
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
         for word in new:
             if len(word) > LONGEST_KEPT:
                 del self.known[word]
         return ids
 
-    def ids(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._window, self.windows(text))))
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; texts within a window all at once, the others a window at a time."""
+        short = iter(self._windows([t for t in texts if len(t) <= WINDOW]))
+        return [next(short) if len(t) <= WINDOW else [i for w in self.windows(t) for i in self._windows([w])[0]] for t in texts]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -199,20 +202,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of()
         for batch in _slices(batches, own):
-            found = []
-            for raw in batch.column(own).to_pylist():
-                ids = codec.ids(raw.decode("utf-8", "replace")) if raw else []
-                if digests:
-                    ids = len(ids), hashlib.sha256(codec.written(ids)).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
-                else:
-                    ids = (pa.array(ids, pa.int32()),)
-                found.append(ids)
-            columns = list(zip(*found))
+            found = codec.ids([(raw or b"").decode("utf-8", "replace") for raw in batch.column(own).to_pylist()])
             if digests:
-                new = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))]
+                new = [
+                    pa.array([len(ids) for ids in found], pa.int64()),
+                    pa.array([hashlib.sha256(codec.written(ids)).hexdigest() for ids in found], pa.string()),
+                    pa.array([hashlib.sha256(codec.decode(ids)).hexdigest() for ids in found], pa.string()),
+                ]
             else:
-                offsets = pa.array([0, *_running(map(len, columns[0]))], pa.int32())
-                new = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(columns[0]))]
+                new = [pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *[f.name for f in added]])
 
     kept = [f for f in docs.schema.fields if not (digests and f.name == "text")]
@@ -220,13 +218,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return rows.mapInArrow(run, T.StructType([*kept, *added]))
 
 
-def _running(sizes: Iterator[int]) -> Iterator[int]:
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
-
-
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``encoded(…, ids)`` with ``decoded``, the bytes that the ids stand for; null ids give null."""
     encoded = without(encoded, "decoded")
