@@ -81,6 +81,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_substrings": op2_substrings,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
