@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import warc
+from tidegauge.llm import ranked, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.byte_bpe import encode_documents
 
@@ -98,10 +104,12 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked": op11_ranked,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
+    "op11_ranked": ranked.ORACLE,
 }
