@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import presence as P
 from tidegauge.operators.writes import replace_range
+from tidegauge.sources.months import MonthTable, month_after, month_of
 
 OVERLAP = timedelta(hours=3)
 #: The fewest days that may be kept of each grain.
@@ -54,6 +55,37 @@ def roll(rolled: DataFrame, samples: DataFrame, grain: str, watermark: datetime
     return replace_range(rolled, new, low, high), max(span[1], watermark or span[1])
 
 
+ROLLED = "game_id long, bucket timestamp_ntz, counted_samples long, unmeasurable_samples long, min_count int, max_count int, sum_count long, mean_count double"
+
+
+def roll_months(rolled: MonthTable, samples: MonthTable, grain: str, watermark: datetime | None, now: datetime) -> datetime | None:
+    """A pass over stored months: reads those of the span, rewrites those alone, returns the watermark to store.
+
+    Without a watermark the span begins with the first sample, looked up in the first month that has one.
+    """
+    earliest = None
+    for month in [] if watermark else samples.months():
+        start = datetime.combine(month, datetime.min.time())
+        earliest = samples.read(start, datetime.combine(month_after(month), datetime.min.time())).agg(F.min(samples.at)).first()[0]
+        if earliest is not None:
+            break
+    span = span_to_roll(grain, watermark, earliest, now)
+    if span is None:
+        return watermark
+    low, high = span
+    months = datetime.combine(month_of(low), datetime.min.time()), datetime.combine(month_after(month_of(high - timedelta(microseconds=1))), datetime.min.time())
+    rolled.overwrite(replace_range(rolled.read(*months), P.rollup(samples.read(low, high), grain), literal(low), literal(high)))
+    return max(high, watermark or high)
+
+
+def apply_month_plan(table: MonthTable, plan: DataFrame) -> DataFrame:
+    """Create and drop the months that ``month_plan`` names (a row for each month there is or will be); the plan as it was carried out."""
+    done = plan.collect()
+    table.create(*[r.month for r in done if r.action == "create"])
+    table.drop(*[r.month for r in done if r.action == "drop"])
+    return plan.sparkSession.createDataFrame(done, plan.schema)
+
+
 def greatest_watermarks(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(grain, rolled_up_through)`` of both; of two for one grain the later stays."""
     return old.unionByName(new).groupBy("grain").agg(F.max("rolled_up_through").alias("rolled_up_through"))

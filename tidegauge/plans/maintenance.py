@@ -13,6 +13,7 @@ from tidegauge.operators import writes as W
 from tidegauge.plans.presence import rounded
 from tidegauge.plans.registry import query
 from tidegauge.sources import catalogue as C
+from tidegauge.sources.months import MonthTable
 
 # A tenth of the samples come five hours late, a tenth two: both engines read this.
 _ARRIVING = """SELECT user_id % 10 AS game_id, ts AS sampled_at, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS INT) END AS cnt,
@@ -31,16 +32,49 @@ FROM seen WHERE sampled_at < TIMESTAMP '2024-01-31' GROUP BY grain, game_id, buc
 
 @query(_PASSES)
 def rollup_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Two passes, each over what had arrived by then; both grains."""
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    samples, out = spark.sql(_ARRIVING), None
-    for grain in ("hour", "day"):
-        rolled, mark = P.rollup(samples.where("false"), grain), None
-        for now in (_FIRST, _SECOND):
-            rolled, mark = M.roll(rolled, samples.where(f"arrived_at <= {M.literal(now)}"), grain, mark, now)
-        rolled = rolled.withColumn("grain", F.lit(grain))
-        out = rolled if out is None else out.unionByName(rolled)
-    return rounded(out, "mean_count")
+    """Two passes over month-partitioned tables, each over what had arrived by then; both grains."""
+    samples = spark.sql(_ARRIVING.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events"))
+    rolled = {grain: MonthTable(spark, M.ROLLED, "bucket", name=f"rolled-{grain}") for grain in ("hour", "day")}
+    raw, marks, before = MonthTable(spark, samples.schema, "sampled_at", name="samples"), dict.fromkeys(rolled), "arrived_at < timestamp_ntz'0001-01-01 00:00:00'"
+    for now in (_FIRST, _SECOND):
+        arrived = f"arrived_at <= {M.literal(now)}"
+        raw.append(samples.where(f"{arrived} AND NOT ({before})"))
+        marks = {grain: M.roll_months(table, raw, grain, marks[grain], now) for grain, table in rolled.items()}
+        before = arrived
+    hours, days = [table.read().withColumn("grain", F.lit(grain)) for grain, table in rolled.items()]
+    return rounded(hours.unionByName(days), "mean_count")
+
+
+# Samples spread over the twelve months before, so that months can be told apart.
+_YEAR = """SELECT user_id % 10 AS game_id, ts - make_ym_interval(0, CAST(event_id % 12 AS INT)) AS sampled_at, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS INT) END AS cnt, event_id FROM {events}"""
+_YEAR_SQL = """year AS (SELECT user_id % 10 AS game_id, ts - to_months(CAST(event_id % 12 AS INT)) AS sampled_at, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS INT) END AS cnt, event_id FROM events)"""
+
+
+def _year(spark: SparkSession, d: str) -> MonthTable:
+    samples = spark.sql(_YEAR, events=C.table(spark, d, "events"))
+    table = MonthTable(spark, samples.schema, "sampled_at", name="year")
+    table.append(samples)
+    return table
+
+
+@query(f"WITH {_YEAR_SQL} SELECT game_id, sampled_at, cnt, event_id FROM year WHERE sampled_at >= TIMESTAMP '2023-06-10' AND sampled_at < TIMESTAMP '2023-07-20' AND game_id = 3")
+def raw_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A listing's raw samples of a span, from a month-partitioned table: two months are read."""
+    return _year(spark, d).read(datetime(2023, 6, 10), datetime(2023, 7, 20)).where("game_id = 3")
+
+
+@query(f"""WITH {_YEAR_SQL}, kept AS (SELECT CAST(date_trunc('month', sampled_at) AS DATE) AS m, count(*) AS n FROM year GROUP BY ALL)
+SELECT m AS month, n AS samples, 'keep' AS action FROM kept WHERE m >= DATE '2023-05-01'
+UNION ALL SELECT m, 0, 'drop' FROM kept WHERE m < DATE '2023-05-01'
+UNION ALL SELECT CAST(unnest([DATE '2024-02-01', DATE '2024-03-01', DATE '2024-04-01']) AS DATE), 0, 'create'""")
+def month_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Months that the plan lets go are dropped, coming ones created; then what each still holds."""
+    table = _year(spark, d)
+    there = spark.createDataFrame([(m,) for m in table.months()], "month date")
+    boundary = spark.sql("SELECT 'raw' AS kind, timestamp_ntz'2023-05-10 00:00:00' AS boundary")
+    done = M.apply_month_plan(table, M.month_plan(there, boundary, "timestamp_ntz'2024-01-31 00:00:00'", 3))
+    held = table.read().groupBy(F.trunc("sampled_at", "month").alias("month")).agg(F.count("*").alias("samples"))
+    return done.join(held, "month", "left").select("month", F.coalesce("samples", F.lit(0)).cast("long").alias("samples"), "action")
 
 
 @query("""WITH m AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'hour' ELSE 'day' END AS grain, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)
@@ -98,8 +132,7 @@ _WRITES = """SELECT event_id, user_id AS game_id, CASE WHEN event_type = 'error'
 @query(f"""WITH w AS ({_WRITES})
 SELECT * FROM w WHERE reached AND CASE WHEN cnt IS NULL THEN reason IS NOT NULL ELSE cnt >= 0 AND reason IS NULL END""")
 def presence_write_checks(spark: SparkSession, d: str) -> DataFrame:
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    return M.sound_samples(spark.sql(_WRITES))
+    return M.sound_samples(spark.sql(_WRITES.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events")))
 
 
 @query(C.sql("dense") + """ SELECT game_id, date_trunc('day', sampled_at) AS bucket, count(cnt) AS counted_samples, max(cnt) AS max_count FROM presence
