@@ -5,6 +5,8 @@ import hashlib
 import lzma
 import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -150,3 +152,28 @@ def test_last_line_of_a_wrapped_run(end):
         wrapped = end.join(re.findall(".{1,76}", b64(raw)))
         text = f"{wrapped} end"
         assert spans(text) == [f"assign:0:{len(wrapped)}"]
+
+
+def test_thousands_of_nested_layers():
+    raw = SECRET.encode()
+    for k in range(2000):
+        raw = [gzip.compress, zlib.compress][k % 2](raw)
+    text = b64(raw)
+    began = time.monotonic()
+    assert f"assign:0:{len(text)}" in spans(text)
+    assert time.monotonic() - began < 20
+    turns = SECRET
+    for _ in range(12):
+        turns = b64(gzip.compress(turns.encode()))
+    assert f"assign:0:{len(turns)}" in spans(turns)
+
+
+def test_what_inflates_much_takes_little_memory():
+    text = b64(gzip.compress(b"lorem ipsum " * 8_000_000 + SECRET.encode()))
+    nested = b64(gzip.compress(gzip.compress(b"lorem ipsum " * 8_000_000 + SECRET.encode())))
+    for value in (text, nested):
+        tracemalloc.start()
+        assert f"assign:0:{len(value)}" in spans(value)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 << 20  # of 96 MB inflated

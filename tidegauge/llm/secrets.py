@@ -5,14 +5,14 @@ Unicode escapes or character references stand gives a layer with these resolved,
 run gives the layer it decodes to, decompressed if it is gzip, zlib, bz2, xz or zstd. Each new
 layer is scanned and unwrapped in turn until none is new: a layer that was seen with the same
 origin (a cycle, as in data that decompress to themselves) is not taken up again. All members of
-compressed data count, and data compressed again are unwrapped as one stream. Every layer
+compressed data count, and data compressed again are unwrapped layer by layer, however many. Every layer
 carries, for each character, the span of the original text it comes from, so what is found in it
 is reported as a span of the original.
 
 Spark deals out the rows; a task holds one text and its layers. Decompressed data are scanned in
 windows of WINDOW bytes that overlap by OVERLAP, and a base64 run over their limits goes through a
 temporary file, so a layer of any size takes bounded memory; a secret in them is reported as the
-span of the whole encoded run.
+span of the whole encoded run. Not unwrapped: deflate data without a header, and UTF-16.
 
 Defined cases: null is as empty and has no spans; a span found in several ways counts once;
 repeated rows are scanned each; other columns of the input pass through, unless they are named as
@@ -67,7 +67,7 @@ _PACKED = re.compile(rb"H4[s-v]|Qlpo|/Td6WFoA|KLUv/|e[A-P]")
 _PACKED_AFTER = re.compile(rb"(?<=[+/])(?=" + _PACKED.pattern + rb")")
 _STRETCH = re.compile(rb"[\t\r\n -~]{12,}")  # shorter than any secret
 _ZSTD = type(zstandard.ZstdDecompressor().decompressobj())
-WINDOW, OVERLAP, FEED, ZSTD_FEED = 1 << 20, 1 << 12, 1 << 16, 1 << 9
+WINDOW, OVERLAP, FEED, ZSTD_FEED, HELD = 1 << 20, 1 << 12, 1 << 16, 1 << 9, 1 << 24
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -314,45 +314,77 @@ def _decoded(letters: IO[bytes]) -> Iterator[str]:
     for skip in range(4):
         yield from _texts(_unlettered(letters, skip))
     for start in _packed_starts(letters):
-        yield from _unpacked(lambda start=start: _unlettered(letters, start), frozenset())
+        yield from _unpacked(lambda start=start: _unlettered(letters, start))
 
 
-def _unpacked(source: Callable[[], Iterator[bytes]], seen: frozenset[bytes]) -> Iterator[str]:
-    """Texts in what a stream holds if it is compressed; compressed streams in it are unwrapped until nothing is new."""
-    if _opened(source()) is None:
-        return
-    digest = hashlib.sha1()
-    for piece in source():
-        digest.update(piece)
-    if digest.digest() in seen:
-        return
-    yield from _texts(_opened(source()))
-    yield from _unpacked(lambda: _opened(source()), seen | {digest.digest()})
+def _unpacked(source: Callable[[], Iterator[bytes]]) -> Iterator[str]:
+    """Texts in what a stream holds if it is compressed, and in what that holds, until a layer is not compressed or was there before.
+
+    A layer that is compressed itself is kept to inflate it from, up to HELD bytes; beyond that it is inflated anew from the one before.
+    """
+    seen = set()
+    while (opened := _opened(source())) is not None:
+        digest = hashlib.sha1()
+        for piece in source():
+            digest.update(piece)
+        if digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        first = next(opened, b"")
+        layer = _Kept(chain([first], opened)) if _codec(first) is not None else None
+        yield from _texts(layer or chain([first], opened))
+        if layer is None:
+            return
+        source = layer.again if layer.size <= HELD else lambda before=source: _opened(before())
+
+
+class _Kept:
+    """An iterator that keeps what went through, if that is no more than HELD bytes."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.size = pieces, [], 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        for piece in self.pieces:
+            self.size += len(piece)
+            self.held = [*self.held, piece] if self.size <= HELD else []
+            yield piece
+
+    def again(self) -> Iterator[bytes]:
+        return iter(self.held)
+
+
+def _children(layer: Layer) -> Iterator[Layer]:
+    """The layers that a layer holds, one at a time."""
+    if "%" in layer.text and (child := _url(layer)) is not None:
+        yield child
+    if ("\\" in layer.text or "&#" in layer.text) and (child := _unicode(layer)) is not None:
+        yield child
+    for m in _BASE64.finditer(layer.text):
+        origin = layer.origin(m.start(), m.end())
+        for text in _decoded(io.BytesIO(m.group().encode().translate(None, b"\r\n="))):
+            yield Layer(text, whole=origin)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
-    """The base spans and what deeper layers add, by start, then kind, then end."""
+    """The base spans and what deeper layers add, by start, then kind, then end.
+
+    The worklist holds, for each layer on the way down, what it has yet to give; so only the layers on that way are in memory.
+    """
     found = set(base)
-    work: list[Layer] = [Layer(text)]
-    seen = {work[0].key()} if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) else set()
+    first = Layer(text)
+    seen = {first.key()} if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) else set()
+    work = [_children(first)]
     while work:
-        layer = work.pop()
-        if layer.low is not None or layer.whole is not None:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
             for start, kind, end in base_spans(layer.text):
                 low, high = layer.origin(start, end)
                 found.add((low, kind, high))
-        children = []
-        if "%" in layer.text:
-            children.append(_url(layer))
-        if "\\" in layer.text or "&#" in layer.text:
-            children.append(_unicode(layer))
-        for m in _BASE64.finditer(layer.text):
-            origin = layer.origin(m.start(), m.end())
-            children += [Layer(x, whole=origin) for x in _decoded(io.BytesIO(m.group().encode().translate(None, b"\r\n=")))]
-        for child in children:
-            if child is not None and (key := child.key()) not in seen:
-                seen.add(key)
-                work.append(child)
+            work.append(_children(layer))
     return sorted(found)
 
 
