@@ -45,3 +45,12 @@ def test_wide_scores(spark):
     assert run(spark, rows) == brute(rows, 10)
     with pytest.raises(ArithmeticError):
         run(spark, [(0, [1e30]), (1, [1e30])])
+
+
+@pytest.mark.parametrize("block", [1024, 1])
+def test_queries_that_share_an_id(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(101, 150)]
+    rows += [(100, [0.5, -0.5, 0.1, 0.2]), (100, [-0.5, 0.5, 0.3, 0.1]), (100, [-0.5, 0.5, 0.3, 0.1])]
+    assert len(run(spark, rows)) == 20 and run(spark, rows) == brute(rows, 10)

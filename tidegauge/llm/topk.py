@@ -13,7 +13,7 @@ the k-th of all; so no task or driver ever gathers scores.
 Defined cases: vectors that are null, or hold a null or a component that is not finite, and rows
 without vec_id take no part; vectors of different length have no score; rows that share the
 query's vec_id are its own; repeated candidates are candidates each; a query repeated with the
-same vector runs once. Scores that a long may not hold raise an error.
+same vector runs once, and queries that share a vec_id but not a vector have a full answer each. Scores that a long may not hold raise an error.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ def quantised(embeddings: DataFrame) -> DataFrame:
 class Block:
     """Queries, and for each what is known of its last taken candidate."""
 
-    def __init__(self, ids: np.ndarray, vectors: list, bound: int):
-        self.ids, self.bound = ids, bound
+    def __init__(self, ids: np.ndarray, vectors: list, bound: int, first: int = 0):
+        self.ids, self.bound, self.numbers = ids, bound, first + np.arange(len(ids))  # rows may share an id, not a number
         self.by_size = {n: np.array([i for i, v in enumerate(vectors) if len(v) == n]) for n in {len(v) for v in vectors}}
         kind = np.float64 if bound < 2**53 else np.int64
         self.matrices = {n: np.array([vectors[i] for i in at], kind).reshape(len(at), n) for n, at in self.by_size.items()}
@@ -133,14 +133,14 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     ).agg(F.max("most"), F.max("total"), F.min("vec_id"), F.max("vec_id")).first()
     most, total, least_id, most_id = limits
     out = f"{shared_folder(spark).rstrip('/')}/topk-{uuid.uuid4().hex}"
-    schema = "query_id long, vec_id long, score long"
+    schema = "number long, query_id long, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(out)
     if most is not None:
         bound = int(most * total) + 1
         if bound >= 2**62:
             raise ArithmeticError("scores exceed a long")
         queries = vectors.where(F.col("vec_id") % every == 0).distinct()
-        seen = None
+        seen, done = None, 0
         while True:
             ordered = queries
             if seen is not None:
@@ -150,8 +150,9 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             if not rows:
                 break
             seen = rows[-1]
-            block = Block(np.array([r.vec_id for r in rows]), [r.v for r in rows], bound)
+            block = Block(np.array([r.vec_id for r in rows]), [r.v for r in rows], bound, done)
             n = len(rows)
+            done += n
             key, below, ties = _select(vectors, block, np.full(n, k), np.zeros(n, np.int64), np.full(n, 2 * bound), False)
             block.kth = bound - key
             wanted = np.where(ties > k - below, k - below, 0)
@@ -165,9 +166,10 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 for at, ids, score, candidate in block.scored(batches):
                     kth, last = block.kth[at][:, None], block.last_id[at][:, None]
                     q, c = np.nonzero(candidate & ((score > kth) | ((score == kth) & (ids[None, :] <= last))))
-                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[at][q]), pa.array(ids[c]), pa.array(score[q, c])], names=["query_id", "vec_id", "score"])
+                    columns = [pa.array(block.numbers[at][q]), pa.array(block.ids[at][q]), pa.array(ids[c]), pa.array(score[q, c])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["number", "query_id", "vec_id", "score"])
 
             vectors.mapInArrow(run, schema).write.mode("append").parquet(out)
     taken = spark.read.schema(schema).parquet(out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return taken.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
