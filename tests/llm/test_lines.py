@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tidegauge.llm import lines
 
 SCHEMA = "doc_id long, text string, n_lines string, tokens int, goes string"
@@ -86,3 +88,17 @@ def test_long_lists(spark, monkeypatch):
     near = [(1000 + i, " ".join(w if rng.random() > 0.06 else f"v{rng.randrange(500)}" for w in base)) for i in range(80)]
     rows = corpus(3) + near
     assert {(r.doc_id, r.line_no) for r in lines.later_matches(frame(spark, rows)).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("apart", [" ", "\t", "\r", " \t "])
+def test_common_words_have_long_lists_whatever_parts_them(spark, apart):
+    """Tables in text: four of six words of a line are among twelve common ones."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(12)]
+    rows = [(i, apart.join([*rng.sample(common, 4), f"a{i}", f"b{i}"])) for i in range(600)]
+    docs = frame(spark, rows)
+    texts = lines._texts(docs)
+    rarity, long = lines._rarity(texts), lines._long_from(texts)
+    listed = lines._listed(lines._distinct(lines._lines(texts), rarity, long)).where(lines.F.col("token") < long)
+    assert listed.groupBy("token").count().agg({"count": "max"}).first()[0] < 1 << lines.LIST_BITS[0] + 1
+    assert {(r.doc_id, r.line_no) for r in lines.later_matches(docs).collect()} == brute(rows)

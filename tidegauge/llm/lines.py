@@ -72,18 +72,17 @@ def _slot(word: Column) -> Column:
 
 def _rarity(texts: DataFrame) -> DataFrame:
     """One row, one array: for each slot, the order of magnitude of how often its tokens occur, above the 37 bits of a hash."""
-    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = texts.select(F.explode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("w"))  # apart as words_of has them
     counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
     sizes = counts.select("slot", F.shiftleft(F.floor(F.log2("n")).cast("long") + 1, HASH_BITS).alias("size"))
     every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("size"))
-    # words apart by other white space than these are counted as one, which only makes the order a little less good
     filled = sizes.union(every).groupBy("slot").agg(F.max("size").alias("size"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
 
 
 def _long_from(texts: DataFrame) -> int:
-    """The token from which on lists are long, by the number of spaces in all texts."""
-    spaces = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n")).first()["n"] or 0
+    """The token from which on lists are long, by the number of white spaces within lines of all texts."""
+    spaces = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\r", ""))).alias("n")).first()["n"] or 0
     bits = min(max(int(spaces).bit_length() - 1 - SHARE_BITS, LIST_BITS[0]), LIST_BITS[1])
     return (bits + 1) << HASH_BITS
 
