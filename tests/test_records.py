@@ -15,8 +15,8 @@ def values(spark, rows, column, schema="x string"):
 
 def test_addresses_of_both_families(spark):
     texts = ["8.8.8.8", "10.1.2.3", "2a00:1450::1", "::1", "fe80::1", "256.1.1.1", "", None]
-    assert values(spark, texts, net.routable("x")) == [True, False, True, False, False, None, None, None]
-    assert values(spark, texts[:5], net.source_bucket("x")) == ["8.8.8.8", "10.1.2.3", "2a00:1450::/64", "::/64", "fe80::/64"]
+    assert values(spark, texts, net.dialled_scope(F.col("x"))) == [True, False, True, False, False, None, None, None]
+    assert values(spark, texts[:5], net.source_bucket(F.col("x"))) == ["8.8.8.8", "10.1.2.3", "2a00:1450::/64", "::/64", "fe80::/64"]
     assert values(spark, texts, net.routable_ipv4(F.col("x"))) == [True, False] + [None] * 6
 
 

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from tidegauge.plans import availability, catalogue, claims, documents, hours, maintenance, presence, readings, records, streams  # noqa: F401  (importing registers)
+from tidegauge.plans import availability, catalogue, claims, documents, hours, maintenance, presence, readings, records, scope, streams  # noqa: F401  (importing registers)
 from tidegauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
