@@ -50,9 +50,14 @@ HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
 
 
+def _tabs(text: str) -> Column:
+    """Whether other white space than spaces parts words."""
+    return F.contains(F.col(text), F.lit("\t")) | F.contains(F.col(text), F.lit("\r"))
+
+
 def words_of(line: str) -> Column:
     """The words of a line that has any; only lines with other white space than single spaces are rewritten first."""
-    plain = F.when(F.contains(F.col(line), F.lit("\t")) | F.contains(F.col(line), F.lit("\r")) | F.contains(F.col(line), F.lit("  ")), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(F.col(line))
+    plain = F.when(_tabs(line) | F.contains(F.col(line), F.lit("  ")), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(F.col(line))
     return F.split(F.trim(plain), " ")
 
 
@@ -72,7 +77,8 @@ def _slot(word: Column) -> Column:
 
 def _rarity(texts: DataFrame) -> DataFrame:
     """One row, one array: for each slot, the order of magnitude of how often its tokens occur, above the 37 bits of a hash."""
-    words = texts.select(F.explode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("w"))  # apart as words_of has them
+    lines = F.replace("text", F.lit("\n"), F.lit(" "))
+    words = texts.select(F.explode(F.split(F.when(_tabs("text"), F.translate("text", "\n\t\r", "   ")).otherwise(lines), " ")).alias("w"))  # apart as words_of has them
     counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
     sizes = counts.select("slot", F.shiftleft(F.floor(F.log2("n")).cast("long") + 1, HASH_BITS).alias("size"))
     every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("size"))
@@ -82,7 +88,8 @@ def _rarity(texts: DataFrame) -> DataFrame:
 
 def _long_from(texts: DataFrame) -> int:
     """The token from which on lists are long, by the number of white spaces within lines of all texts."""
-    spaces = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\r", ""))).alias("n")).first()["n"] or 0
+    words = F.when(_tabs("text"), F.translate("text", " \t\r", "")).otherwise(F.replace("text", F.lit(" "), F.lit("")))
+    spaces = texts.agg(F.sum(F.length("text") - F.length(words)).alias("n")).first()["n"] or 0
     bits = min(max(int(spaces).bit_length() - 1 - SHARE_BITS, LIST_BITS[0]), LIST_BITS[1])
     return (bits + 1) << HASH_BITS
 
