@@ -6,6 +6,7 @@ import pytest
 
 from tidegauge import streaming as S
 from tidegauge.operators import maintenance as M
+from tidegauge.streaming import expiring as X
 
 START = datetime(2024, 1, 1)
 SCHEMA = "key long, at timestamp, tie long, value string, cnt int"
@@ -79,3 +80,39 @@ def test_nothing_goes_before_it_is_rolled_up(spark):
     assert got == {"raw": None, "hour": None, "day": datetime(2024, 1, 2)}
     with pytest.raises(ValueError):
         M.boundaries(marks, "timestamp_ntz'2025-01-01 00:00:00'", raw_days=55)
+
+
+def micros(minute):
+    return int((minutes(minute) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+
+
+def test_silence_and_return_over_several_batches(spark, tmp_path):
+    """Gap of an hour, delay of ten minutes: nothing is said of a time that the watermark has not passed."""
+    batches = [
+        [(1, 0, 0, "x", 1), (2, 0, 0, "x", 1), (1, 30, 0, "x", 1)],
+        [(2, 40, 0, "x", 1), (1, 25, 0, "x", 1), (3, 45, 0, "x", 1)],  # out of order, within the delay of nothing passed yet
+        [(2, 200, 0, "x", 1), (None, 210, 0, "x", 1)],
+        [(1, 215, 0, "x", 1)],
+        [(3, 500, 0, "x", 1)],
+    ]
+    rows = stream(spark, tmp_path / "in", batches).select("key", "at")
+    got = X.finished(X.silences(rows, "key", "at", 1, "10 minutes"), "silences").collect()
+    want = [(1, "silent", 30, 90), (1, "back", 30, 215), (1, "silent", 215, 275), (2, "silent", 40, 100), (2, "back", 40, 200), (2, "silent", 200, 260), (3, "silent", 45, 105)]
+    assert sorted(map(tuple, got)) == sorted((k, kind, micros(a), micros(b)) for k, kind, a, b in want)
+
+
+def test_days_go_when_their_time_has_run_out(spark, tmp_path):
+    day = 24 * 60
+    batches = [[(1, 5, 0, "x", 1), (1, 10, 0, "x", 1), (2, 20, 0, "x", 1)], [(1, day + 5, 0, "x", 1)], [(2, 3 * day + 30, 0, "x", 1)], [(2, 4 * day + 30, 0, "x", 1)]]
+    rows = stream(spark, tmp_path / "in", batches).select("key", "at")
+    got = X.finished(X.expired_days(rows, "key", "at", 2, "10 minutes"), "expired").collect()
+    first = (START - datetime(1970, 1, 1)).days
+    assert sorted(map(tuple, got)) == [(1, first, 2), (1, first + 1, 1), (2, first, 1)]
+
+
+def test_payloads_are_new_again_after_their_time(spark, tmp_path):
+    day = 24 * 60
+    batches = [[(1, 0, 0, "a", 1), (1, 1, 0, "a", 1), (2, 0, 0, "a", 1)], [(1, day, 0, "a", 1), (1, day, 0, "b", 1), (None, day, 0, "a", 1)], [(1, 3 * day, 0, "a", 1), (1, 3 * day, 0, None, 1)]]
+    rows = stream(spark, tmp_path / "in", batches)
+    got = X.finished(X.first_payloads(rows, "key", "at", "value", 2, "10 minutes"), "payloads").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", micros(0)), (1, "a", micros(3 * day)), (1, "b", micros(day)), (2, "a", micros(0))]

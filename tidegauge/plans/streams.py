@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import streaming as S
+from tidegauge.streaming import expiring as X
 from tidegauge.plans.registry import query
 from tidegauge.sources import catalogue as C
 
@@ -65,3 +66,39 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     seen = events(spark, d).selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_id", "event_type")
     feed = S.finished(S.changes(S.closed_runs(seen, "user_id", "ts", "event_id", "event_type")), "stream_changes")
     return feed.select(F.col("key").alias("game_id"), "old_value", "new_value", moment("changed_us").alias("changed_at"))
+
+
+_SILENT = f"""WITH passed AS (SELECT user_id AS game_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM (SELECT DISTINCT user_id, ts FROM events WHERE date_trunc('millisecond', ts) < {_PASSED}))
+SELECT game_id, 'silent' AS kind, ts AS last_at, ts + INTERVAL 20 HOUR AS at_time FROM passed
+WHERE following - ts > INTERVAL 20 HOUR OR following IS NULL AND date_trunc('millisecond', ts + INTERVAL 20 HOUR) < {_PASSED}
+UNION ALL SELECT game_id, 'back', ts, following FROM passed WHERE following - ts > INTERVAL 20 HOUR"""
+
+
+@query(_SILENT)
+def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """When each listing was silent for twenty hours, and when it was back."""
+    seen = events(spark, d).selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts")
+    got = X.finished(X.silences(seen, "user_id", "ts", 20), "stream_gaps")
+    return got.select(F.col("key").alias("game_id"), "kind", moment("last_us").alias("last_at"), moment("at_us").alias("at_time"))
+
+
+@query(f"""SELECT user_id AS game_id, CAST(ts AS DATE) AS day, count(*) AS entries FROM events
+WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 8 DAY <= {_PASSED} GROUP BY ALL""")
+def stream_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """The days whose samples have gone, seven days after their end, and how many samples each had."""
+    seen = events(spark, d).selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts")
+    got = X.finished(X.expired_days(seen, "user_id", "ts", 7), "stream_expiry")
+    return got.select(F.col("key").alias("game_id"), F.date_from_unix_date("day").alias("day"), "entries")
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT user_id % 20 AS game_id, sha256(props) AS fingerprint, ts FROM events),
+given AS (
+  SELECT game_id, fingerprint, min(ts) AS ts FROM p GROUP BY ALL
+  UNION ALL SELECT p.game_id, p.fingerprint, p.ts FROM given g JOIN p ON p.game_id = g.game_id AND p.fingerprint = g.fingerprint AND p.ts >= g.ts + INTERVAL 5 DAY
+  QUALIFY row_number() OVER (PARTITION BY p.game_id, p.fingerprint ORDER BY p.ts) = 1)
+SELECT game_id, fingerprint, ts AS at_time FROM given""")
+def stream_first_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that a listing had not sent for five days."""
+    seen = events(spark, d).select((F.col("user_id") % 20).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.sha2("props", 256).alias("fingerprint"))
+    got = X.finished(X.first_payloads(seen, "user_id", "ts", "fingerprint", 5), "stream_first_payloads")
+    return got.select(F.col("key").alias("game_id"), "fingerprint", moment("at_us").alias("at_time"))
