@@ -106,24 +106,31 @@ def relative_age(seconds: Column) -> Column:
 
 
 # The words that a reader of counts goes by.
-NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+ADVERBS = ["currently", "now", "presently", "only", "just", "about"]
+PAST = ["registered", "deleted", "allowed", "created"]
 NOUNS = ["player", "players", "user", "users", "character", "characters", "people", "person", "persons", "adventurer", "adventurers", "mortal", "mortals"]
 STATES = ["connected", "online", "playing", "active", "logged"]
 STAFF = ["staff", "wizard", "wizards", "admin", "admins", "immortal", "immortals"]
 LIMITS = ["max", "maximum", "record", "peak", "most", "limit", "of"]
 TABLE_WORDS = ["name", "idle", "on", "for", "total", "there", "are", "is", "no", "nobody", "and"]
-REACH = 6  # words from a number to its noun
+REACH = 7  # words from a number to its noun
 MOST = 10_000
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.lower(line), "on-line", "online"), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(line), "on-line", "online"), r"\bno[- ]?one\b", "nobody")
+    return F.regexp_extract_all(plain, F.lit("[a-z]+|[0-9]+"), F.lit(0))
 
 
 def _number(word: Column) -> Column:
     """What a word counts, or null: digits, a number in words, or none at all."""
-    spelled = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), word)
-    return F.when(word.rlike("^[0-9]{1,9}$"), word.try_cast("int")).when(spelled > 0, (spelled - 1).cast("int")).when(word.isin("no", "nobody", "none"), 0)
+    known = {w: n for n, w in enumerate(NUMBER_WORDS)} | {w: 10 * n for n, w in enumerate(TENS, 2)} | {"no": 0, "nobody": 0, "none": 0}
+    spelled = F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), word)
+    return F.when(word.rlike("^[0-9]{1,9}$"), word.try_cast("int")).otherwise(spelled)
 
 
 def _has(words: Column, vocabulary: list[str]) -> Column:
@@ -134,17 +141,37 @@ def stated_counts(line: Column) -> Column:
     """The numbers of people that a line states, in order.
 
     A number counts if a noun for people follows within REACH words (or, as in ``players: 5``, stands
-    just before it), if the line says that they are there, and if it is no limit or record.
+    just before it), if the line says that they are there, and if it is no limit or record. They are there if the line has
+    a word for it, if it begins with ``there are``, if the noun is followed by a bare ``on``, or if number and
+    noun stand in brackets. Who logged out, and who was once registered, is not there. Tens and units in words are one number, and
+    of ``one of three players`` the three count.
     """
     words = _words(line)
-    before = lambda i, k: F.get(words, i - k)
+    word = lambda i, k=0: F.get(words, i + k)
+    is_in = lambda w, vocabulary: F.coalesce(w.isin(vocabulary), F.lit(False))
     following = lambda i: F.slice(words, i + 2, REACH)
-    labelled = lambda i: F.coalesce(before(i, 1).isin(NOUNS) | (before(i, 1).isin(STATES) & before(i, 2).isin(NOUNS)), F.lit(False)) & line.rlike("[:=]")
-    there = lambda i: F.coalesce(before(i, 2).isin("there") & before(i, 1).isin("are", "is"), F.lit(False))
-    about = lambda i: labelled(i) | ((_has(following(i), NOUNS) | F.get(words, i).isin("nobody")) & (_has(words, STATES) | there(i)))
-    bound = lambda i: F.coalesce(before(i, 1).isin(LIMITS), F.lit(False))
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _number(F.get(words, i)).isNotNull() & about(i) & ~bound(i))
-    return F.when(F.size(words) > 0, F.transform(places, lambda i: _number(F.get(words, i)))).otherwise(F.array().cast("array<int>"))
+    labelled = lambda i: (is_in(word(i, -1), NOUNS) | (is_in(word(i, -1), STATES) & is_in(word(i, -2), NOUNS)) | (is_in(word(i, -1), ["on"]) & is_in(word(i, -2), NOUNS))) & line.rlike("[:=]")
+    late = lambda i: F.when(is_in(word(i, -1), ADVERBS), 1).otherwise(0)
+    there = lambda i: is_in(F.get(words, i - 2 - late(i)), ["there"]) & is_in(F.get(words, i - 1 - late(i)), ["are", "is"])
+    on = line.rlike(rf"(?i)\b(?:{'|'.join(NOUNS)}) on(?: (?:now|right now|currently|at the moment))?\s*(?:[.,;!\])]|$)")
+    bracketed = lambda i: line.rlike(r"\[\s*[0-9]+\s+[A-Za-z]+\s*[;,\]]") & is_in(word(i, 1), NOUNS)
+    gone = line.rlike(r"(?i)\blogged (?:off|out)\b") | _has(words, PAST)
+    about = lambda i: labelled(i) | ((_has(following(i), NOUNS) | is_in(word(i), ["nobody"])) & (_has(words, STATES) | there(i) | on | bracketed(i)) & ~gone)
+    part = lambda i: is_in(word(i), ["one"]) & is_in(word(i, 1), ["of"])
+    unit = lambda i: is_in(word(i), NUMBER_WORDS[1:10])
+    joined = lambda i: unit(i) & is_in(word(i, -1), TENS)
+    bound = lambda i: is_in(word(i, -1), LIMITS) & ~(is_in(word(i, -1), ["of"]) & is_in(word(i, -2), ["one"]))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _number(word(i)).isNotNull() & about(i) & ~bound(i) & ~part(i) & ~joined(i))
+    value = lambda i: _number(word(i)) + F.when(is_in(word(i), TENS) & unit(i + 1), _number(word(i, 1))).otherwise(0)
+    return F.when(F.size(words) > 0, F.transform(places, value)).otherwise(F.array().cast("array<int>"))
+
+
+def named_people(text: Column) -> Column:
+    """How many names a list of people who are there has, or null: ``Connected players: Ann, Bob``, also over several lines."""
+    flat = F.regexp_replace(text, r",[ \t]*\r?\n[ \t]*", ", ")
+    heads = r"(?:(?:connected|online|active) (?:players|users|people)|(?:players|users|people) (?:are )?(?:connected|online|logged (?:on|in)))"
+    names = F.regexp_extract(flat, rf"(?im)^.{{0,20}}\b{heads}\s*:\s*([A-Za-z][A-Za-z'-]*(?:,\s*[A-Za-z][A-Za-z'-]*)+)\s*\.?\s*$", 1)
+    return F.when(names != "", F.size(F.split(names, ",")))
 
 
 def _lines(text: Column) -> Column:
@@ -168,8 +195,8 @@ def who_reading(text: Column, near_end: int = 6) -> Column:
     lines = _lines(F.coalesce(text, F.lit("")))
     last = F.slice(lines, F.greatest(F.size(lines) - near_end + 1, F.lit(1)), F.lit(near_end))
     stated = F.filter(F.transform(last, lambda x: F.get(stated_counts(x), F.lit(0))), lambda n: n.isNotNull())
-    count = F.when(F.size(stated) > 0, F.element_at(stated, -1))
-    prompt = F.when(F.size(lines) > 0, F.element_at(lines, -1).rlike(r"(?i)\b(name|password|login|account)\b[^:]{0,20}[:?]\s*$")).otherwise(False)
+    count = F.coalesce(F.when(F.size(stated) > 0, F.element_at(stated, -1)), named_people(text))
+    prompt = F.when(F.size(lines) > 0, F.element_at(lines, -1).rlike(r"(?i)\b(name|password|login|account)\b[^:]{0,20}[:?]\s*$|\([yY]/[nN]\)\s*[?:]?\s*$")).otherwise(False)
     heading = F.array_position(F.transform(lines, lambda x: _has(_words(x), ["name", "player"]) & _has(_words(x), ["idle", "on"])), F.lit(True))
     body = F.filter(F.slice(lines, heading.cast("int") + 1, F.size(lines)), lambda x: ~x.rlike(r"^[-=+ \t]+$"))
     rows = F.size(F.filter(body, lambda x: F.size(stated_counts(x)) == 0))
@@ -182,7 +209,7 @@ def who_reading(text: Column, near_end: int = 6) -> Column:
 
 def redacted(text: Column) -> Column:
     """Letters and digits masked (``X``, ``x``, ``9``), but for words and numbers that a count is read from."""
-    kept = NUMBER_WORDS + NOUNS + STATES + STAFF + LIMITS + TABLE_WORDS
+    kept = NUMBER_WORDS + TENS + NOUNS + STATES + STAFF + LIMITS + TABLE_WORDS
 
     def masked(line: Column) -> Column:
         parts = F.regexp_extract_all(line, F.lit(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
