@@ -69,6 +69,23 @@ def facet_counts(rows: DataFrame, facets: list[str], choices: dict[str, Choice])
     return wide.where(F.size("fails") <= 1).groupBy(F.col("x.facet").alias("facet"), F.col("x.value").alias("value")).agg(F.count_if(fits).alias("n"))
 
 
+#: Fixed value: with fewer results than this, a selection to drop is suggested.
+LOOSEN_BELOW = 10
+
+
+def loosened(rows: DataFrame, choices: dict[str, Choice], below: int = LOOSEN_BELOW) -> DataFrame:
+    """``(facet, matching, without)``: the selection that holds most results back, if there are fewer than ``below``; no row if none does.
+
+    Rows that fail just one selection are what its removal would add, so one scan answers for all of them.
+    """
+    fails = F.array_compact(F.array(*[F.when(~admits(F.col(f), c), F.lit(f)) for f, c in choices.items()]))
+    tally = rows.select(fails.alias("fails")).where(F.size("fails") <= 1).groupBy(F.get("fails", F.lit(0)).alias("facet")).agg(F.count("*").alias("n"))
+    matching = F.coalesce(F.sum(F.when(F.col("facet").isNull(), F.col("n"))), F.lit(0))
+    best = F.min_by(F.when(F.col("facet").isNotNull(), F.struct("facet", "n")), F.when(F.col("facet").isNotNull(), F.struct(-F.col("n"), F.col("facet"))))
+    out = tally.agg(matching.alias("matching"), best.alias("best")).where((F.col("matching") < below) & F.col("best").isNotNull())
+    return out.select("best.facet", "matching", (F.col("matching") + F.col("best.n")).alias("without"))
+
+
 def open_vocabulary(counts: DataFrame, facet: str, chosen: str | None = None, top: int = TOP_VALUES) -> DataFrame:
     """The most frequent values, the chosen one first and kept at zero, and always the unknown bucket."""
     mine = counts.where((F.col("facet") == facet) & (F.col("n") > 0))

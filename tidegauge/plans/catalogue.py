@@ -156,6 +156,18 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d)
 
 
+_THREE = {"codebase": search.Choice("Brand#3"), "band": search.Choice("dark"), "family": search.Choice("promo")}
+
+
+@query(C.sql("facet") + """, t AS (SELECT coalesce(lower(codebase) = 'brand#3', false) AS a, coalesce(lower(band) = 'dark', false) AS b, coalesce(lower(family) = 'promo', false) AS c FROM facet_row),
+m AS (SELECT count(*) FILTER (WHERE a AND b AND c) AS matching, count(*) FILTER (WHERE b AND c) AS codebase, count(*) FILTER (WHERE a AND c) AS band, count(*) FILTER (WHERE a AND b) AS family FROM t),
+u AS (UNPIVOT m ON codebase, band, family INTO NAME facet VALUE without)
+SELECT facet, matching, without FROM u WHERE matching < 1000 AND without > matching ORDER BY without DESC, facet LIMIT 1""")
+def loosen_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    """The selection whose removal would give most results."""
+    return search.loosened(C.facet_rows(spark, d), _THREE, 1000)
+
+
 @query(C.sql("facet") + _ONE + """, top AS (SELECT * FROM counts WHERE facet = 'family' AND n > 0 AND value IS NOT NULL ORDER BY n DESC, value LIMIT 20)
 SELECT facet, value, n, false AS selected FROM top UNION ALL SELECT facet, value, n, false FROM counts WHERE facet = 'family' AND n > 0 AND value IS NULL""")
 def facet_counts_open(spark: SparkSession, d: str) -> DataFrame:
