@@ -2,7 +2,8 @@
 
 Texts are cut into content-defined chunks by a gear rolling hash. Spark counts in how many
 documents each chunk occurs; the DICTIONARY chunks that save most are encoded once, by the tasks
-that hold them, and broadcast (a fixed number of chunks of about CHUNK bytes, so of bounded size).
+that hold them, and their ids are broadcast under 128 bits of hash (a fixed number of chunks of about
+CHUNK bytes, so of bounded size; neither the chunks nor what they decode to go through the driver).
 All other chunks, however many, are encoded in place.
 
 A chunk may begin and end within a word. The dictionary keeps what lies between a chunk's first
@@ -80,6 +81,13 @@ class Encoder:
                         tokens[i] = self.tokenizer.id_to_token(i).encode()
                 self.words[w] = (struct.pack(f"<{len(ids)}I", *ids), b" ".join([tokens[i] for i in ids])) if ids else None
 
+    def joined(self, ids: bytes) -> bytes:
+        """What ids decode to."""
+        tokens, numbers = self.tokens, np.frombuffer(ids, "<u4").tolist()
+        for i in [i for i in set(numbers) if i not in tokens]:
+            tokens[i] = self.tokenizer.id_to_token(i).encode()
+        return b" ".join([tokens[i] for i in numbers])
+
     def whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """``(ids, decoded)`` of texts that start and end at white space.
 
@@ -109,10 +117,20 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Shared:
-    """What the dictionary holds of a chunk: ids and decoded text between its outer white spaces."""
+    """What the dictionary holds of a chunk: the ids between its outer white spaces. A worker decodes them when it first meets the chunk."""
+
+    def __init__(self, head: int, tail: int, ids: bytes):
+        self.head, self.tail, self.ids, self.decoded = head, tail, ids, None
+
+    def results(self, encoder: Encoder) -> tuple[bytes, bytes]:
+        if self.decoded is None:
+            self.decoded = encoder.joined(self.ids)
+        return self.ids, self.decoded
+
 
-    def __init__(self, head: int, tail: int, ids: bytes, decoded: bytes):
-        self.head, self.tail, self.ids, self.decoded = head, tail, ids, decoded
+def key_of(chunk: bytes) -> bytes:
+    """128 bits that stand for a chunk in the dictionary."""
+    return xxhash.xxh3_128_digest(chunk)
 
 
 def inner(chunk: bytes) -> tuple[int, int] | None:
@@ -128,7 +146,7 @@ def parts_of(raw: bytes, dictionary: dict[bytes, Shared]) -> list[bytes | Shared
     parts, open_from = [], 0
     if dictionary:
         for a, b in pairwise(mask_limits(raw, CHUNK)):
-            known = dictionary.get(raw[a:b]) if b - a <= LONGEST_SHARED else None
+            known = dictionary.get(key_of(raw[a:b])) if b - a <= LONGEST_SHARED else None
             if known is not None:
                 parts += [raw[open_from : a + known.head], known]
                 open_from = a + known.tail
@@ -141,7 +159,7 @@ def encode(raws: list[bytes], encoder: Encoder, dictionary: dict[bytes, Shared])
     between = iter(encoder.whole([p for parts in documents for p in parts if isinstance(p, bytes)]))
     out = []
     for parts in documents:
-        found = [next(between) if isinstance(p, bytes) else (p.ids, p.decoded) for p in parts]
+        found = [next(between) if isinstance(p, bytes) else p.results(encoder) for p in parts]
         out.append((b"".join([i for i, _ in found]), b" ".join([d for i, d in found if i])))
     return out
 
@@ -203,14 +221,14 @@ def shared_chunks(texts: DataFrame, path: str, size: int = DICTIONARY) -> dict[b
                 span = inner(chunk)
                 if span is not None:
                     rows.append((chunk, *span))
-            rows = [(*row, *done) for row, done in zip(rows, encoder.whole([c[i:j] for c, i, j in rows]))]
+            rows = [(key_of(c), i, j, ids) for (c, i, j), (ids, _) in zip(rows, encoder.whole([c[i:j] for c, i, j in rows]))]
             if rows:
-                types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "head", "tail", "ids", "decoded"])
+                types = [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "head", "tail", "ids"])
 
     held = texts.mapInArrow(holders, "digest long, chunk binary").groupBy("digest").agg(F.min("chunk").alias("chunk"))
-    rows = held.select("chunk").mapInArrow(encoded, "chunk binary, head int, tail int, ids binary, decoded binary").collect()
-    return {bytes(r.chunk): Shared(r.head, r.tail, bytes(r.ids), bytes(r.decoded)) for r in rows}
+    rows = held.select("chunk").mapInArrow(encoded, "key binary, head int, tail int, ids binary").collect()
+    return {bytes(r.key): Shared(r.head, r.tail, bytes(r.ids)) for r in rows}
 
 
 RESULTS = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
