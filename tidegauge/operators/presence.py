@@ -77,13 +77,28 @@ def daily_medians(samples: DataFrame, since: str, minimum: int = MINIMUM_DAY_SAM
     return found.where(F.col("samples") >= minimum).select("game_id", F.col("bucket").cast("date").alias("day"), "median", "samples")
 
 
+def middle(entries: Column, total: Column) -> Column:
+    """The lower middle of values given as ``(key, value)`` entries of value and times, any of them repeated."""
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("int").alias("at"))
+
+    def step(a: Column, e: Column) -> Column:
+        run = a["run"] + e["value"]
+        return F.struct(run.alias("run"), F.coalesce(a["at"], F.when(run >= F.ceil(total / 2), e["key"])).alias("at"))
+
+    return F.aggregate(F.array_sort(entries), start, step)["at"]
+
+
 def busiest(rolled: DataFrame, games: DataFrame, since: str, minimum_days: int, limit: int = 20) -> DataFrame:
-    """The ranking board, from rollups alone; ``eligible`` counts all that could be ranked."""
-    window = rolled.where(f"bucket >= {since} AND size(count_histogram) > 0").join(games.select(F.col("id").alias("game_id"), "slug", "name"), "game_id")
-    eligible = window.groupBy("game_id", "slug", "name").agg(F.sum("counted_samples").alias("samples"), F.count("*").alias("days"))
-    eligible = eligible.where((F.col("samples") >= MINIMUM_RANKED_SAMPLES) & (F.col("days") >= minimum_days))
-    medians = discrete_median(expanded(window.join(eligible.select("game_id"), "game_id", "left_semi")), "game_id").drop("samples")
-    ranked = eligible.join(medians, "game_id")
+    """The ranking board, from rollups alone and in one pass over them; ``eligible`` counts all that could be ranked.
+
+    A listing's histograms come together as entries, as many as its days have different counts.
+    """
+    window = rolled.where(f"bucket >= {since} AND size(count_histogram) > 0")
+    each = window.groupBy("game_id").agg(
+        F.sum("counted_samples").alias("samples"), F.count("*").alias("days"), F.max("max_count").alias("peak"), F.flatten(F.collect_list(F.map_entries("count_histogram"))).alias("entries")
+    )
+    able = each.where((F.col("samples") >= MINIMUM_RANKED_SAMPLES) & (F.col("days") >= minimum_days))
+    ranked = able.join(games.select(F.col("id").alias("game_id"), "slug", "name"), "game_id").withColumn("median", middle(F.col("entries"), F.col("samples")))
     top = ranked.orderBy(F.desc("median"), F.desc("peak"), "name").limit(limit)
     out = top.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("eligible"))))
     place = F.row_number().over(Window.orderBy(F.desc("median"), F.desc("peak"), "name"))  # at most ``limit`` rows
@@ -113,7 +128,7 @@ def dense_grid(cells: DataFrame) -> DataFrame:
     """All 168 weekday hours; those without samples have null means and no tallies."""
     spark = cells.sparkSession
     grid = spark.range(168).select(F.expr("CAST(id DIV 24 AS INT)").alias("dow"), (F.col("id") % 24).cast("int").alias("hod"))
-    return F.broadcast(grid).join(cells, ["dow", "hod"], "left").select("dow", "hod", "samples", "mean")
+    return grid.join(cells, ["dow", "hod"], "left").select("dow", "hod", "samples", "mean")
 
 
 def rollup_violations(rolled: DataFrame) -> DataFrame:

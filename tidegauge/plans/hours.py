@@ -51,8 +51,7 @@ _EDGES = "SELECT user_id AS a, event_id % 5 AS b, ts AS first_at, ts + INTERVAL
 
 @query(f"WITH e AS ({_EDGES}) SELECT a, b, min(first_at) AS first_at, max(last_at) AS last_at, arg_max(present, last_at) AS present FROM e GROUP BY a, b")
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    e = spark.sql(_EDGES)
+    e = spark.sql(_EDGES.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events"))
     return W.edges_upserted(e.where("NOT is_new").drop("is_new"), e.where("is_new").drop("is_new"), ["a", "b"])
 
 

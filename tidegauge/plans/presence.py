@@ -149,8 +149,9 @@ FROM eligible ORDER BY median DESC, peak DESC, name LIMIT 20"""
 @query(C.sql("presence", "game") + _BUSIEST)
 def busiest_30d(spark: SparkSession, d: str) -> DataFrame:
     shown = C.listed(C.public(C.games(spark, d), C.merges(spark, d)))
-    rolled = P.rollup_with_histogram(C.presence(spark, d), "day")
-    return P.busiest(rolled, shown, "timestamp_ntz'2024-01-02 00:00:00'", 15)
+    since = "timestamp_ntz'2024-01-02 00:00:00'"  # the start of a day, so that samples are left out as they are read
+    rolled = P.rollup_with_histogram(C.presence(spark, d).where(f"sampled_at >= {since}"), "day")
+    return P.busiest(rolled, shown, since, 15)
 
 
 @query(C.sql("presence") + """, daily AS (

@@ -26,8 +26,7 @@ _LISTINGS = """SELECT event_id, user_id % 90 AS n, CASE event_id % 9
 SELECT event_id, CASE event_id % 9 WHEN 3 THEN 'login_prompt' WHEN 4 THEN 'per_player' WHEN 5 THEN 'unreadable' WHEN 8 THEN 'unreadable' ELSE 'count' END AS confidence,
   CAST(CASE event_id % 9 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN 0 WHEN 4 THEN 2 WHEN 6 THEN 7 WHEN 7 THEN n END AS INT) AS cnt FROM l""")
 def who_parse(spark: SparkSession, d: str) -> DataFrame:
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(_LISTINGS).select("event_id", text.who_reading(F.col("listing")).alias("r")).select("event_id", "r.confidence", "r.cnt")
+    return spark.sql(_LISTINGS.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events")).select("event_id", text.who_reading(F.col("listing")).alias("r")).select("event_id", "r.confidence", "r.cnt")
 
 
 _BANNERS = """SELECT event_id, user_id % 90 AS n, CASE event_id % 7
@@ -44,8 +43,7 @@ _BANNERS = """SELECT event_id, user_id % 90 AS n, CASE event_id % 7
 SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN n WHEN 3 THEN n END AS INT) AS cnt FROM b WHERE event_id % 7 <> 4
 UNION ALL SELECT event_id, CASE WHEN n = 2 THEN 2 END FROM b WHERE event_id % 7 = 4""")
 def banner_count(spark: SparkSession, d: str) -> DataFrame:
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(_BANNERS).select("event_id", text.banner_count(F.col("banner")).alias("cnt"))
+    return spark.sql(_BANNERS.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events")).select("event_id", text.banner_count(F.col("banner")).alias("cnt"))
 
 
 @query("""SELECT event_id, concat('There are ', user_id % 90, ' players connected.', chr(10), 'Xxxxx ', regexp_replace(CAST(user_id AS VARCHAR), '[0-9]', '9', 'g'), ' xxxx ', 'Xx.') AS masked FROM events""")

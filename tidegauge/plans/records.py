@@ -23,8 +23,7 @@ _RESERVED = " OR ".join(f"n BETWEEN {int(b.network_address)} AND {int(b.broadcas
 
 
 def _view(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    C.table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(sql)
+    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=C.table(spark, d, "events"))
 
 
 @query(f"WITH a AS ({_ADDRESSES}) SELECT event_id, CASE WHEN event_id % 5 < 3 THEN NOT ({_RESERVED}) END AS routable FROM a")
