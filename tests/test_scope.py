@@ -77,9 +77,9 @@ def test_records_that_do_not(spark, records):
 
 
 def test_reports(spark):
-    rows = [({"CRAWL_OPT_OUT": ["1"]},), ({"MUINDEX OPT-OUT": [" No "], "MUINDEX_OPT_OUT": ["yes"]},), ({"MUINDEX OPT-OUT": ["off"]},), ({"MUINDEX OPT-OUT": []},), ({},), (None,)]
-    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame(rows, "m map<string, array<string>>").select(S.report_opt_out(F.col("m"))).collect()]
-    assert got == [("CRAWL_OPT_OUT", "1"), ("MUINDEX_OPT_OUT", "yes"), None, None, None, None]
+    rows = [({"CRAWL_OPT_OUT": ["1"]},), ({"TIDEGAUGE OPT-OUT": [" No "], "TIDEGAUGE_OPT_OUT": ["yes"]},), ({"TIDEGAUGE OPT-OUT": ["off"]},), ({"TIDEGAUGE OPT-OUT": []},), ({},), (None,)]
+    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame(rows, "m map<string, array<string>>").select(S.report_opt_out(F.col("m"), "tidegauge")).collect()]
+    assert got == [("CRAWL_OPT_OUT", "1"), ("TIDEGAUGE_OPT_OUT", "yes"), None, None, None, None]
 
 
 def test_the_gate_keeps_what_was_not_answered(spark):

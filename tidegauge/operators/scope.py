@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import net
 
-#: Variables of a report that ask not to be crawled, in order, and values that say the opposite.
-OPT_OUT_VARIABLES = ["MUINDEX OPT-OUT", "MUINDEX_OPT_OUT", "MUINDEX OPTOUT", "CRAWL_OPT_OUT"]
+#: What a report calls the wish not to be crawled, in order, after the name of the crawler that is meant; and values that say the opposite.
+OPT_OUT_ENDINGS = [" OPT-OUT", "_OPT_OUT", " OPTOUT"]
+FOR_ALL = "CRAWL_OPT_OUT"
 NEGATIVES = ["0", "no", "false", "off", "opt-in", "optin"]
 #: Fixed value: how a token of a name record that asks not to be crawled reads.
 _TOKEN = r"^(?i:opt-?out)(?:[=:](.*))?$"
 
 
-def report_opt_out(report: Column) -> Column:
-    """The first variable that asks, with its value, of a report ``map<string, array<string>>`` with upper-case names; else null."""
+def report_opt_out(report: Column, crawler: str) -> Column:
+    """The first variable that asks this crawler, or all, with its value, of a report ``map<string, array<string>>`` with upper-case names; else null."""
     first = lambda v: F.trim(F.get(F.try_element_at(report, F.lit(v)), F.lit(0)))
-    asks = [F.when((first(v) != "") & ~F.lower(first(v)).isin(*NEGATIVES), F.struct(F.lit(v).alias("variable"), first(v).alias("value"))) for v in OPT_OUT_VARIABLES]
+    asks = [F.when((first(v) != "") & ~F.lower(first(v)).isin(*NEGATIVES), F.struct(F.lit(v).alias("variable"), first(v).alias("value"))) for v in [*[crawler.upper() + end for end in OPT_OUT_ENDINGS], FOR_ALL]]
     return F.coalesce(*asks)
 
 

@@ -11,7 +11,7 @@ from tidegauge.sources import catalogue as C
 
 # Both engines read this text.
 _EVENTS = """SELECT b % 40 AS game_id, event_id AS id, ts AS at, kind, CASE WHEN kind = 'resign' AND b % 2 = 1 THEN 9 ELSE CAST(floor(target / 40) AS BIGINT) % 2 END AS user_id,
-  concat('muidx-', CAST(target AS STRING)) AS token, CASE WHEN kind = 'issue' THEN CASE WHEN b % 7 = 0 THEN 'assume' ELSE 'join' END END AS intent,
+  concat('claim-', CAST(target AS STRING)) AS token, CASE WHEN kind = 'issue' THEN CASE WHEN b % 7 = 0 THEN 'assume' ELSE 'join' END END AS intent,
   CASE WHEN kind = 'beacon' THEN CASE k WHEN 4 THEN 'dns_txt' WHEN 7 THEN 'connect_screen' ELSE 'mssp' END END AS channel
 FROM (SELECT *,
     CASE WHEN k = 0 THEN 'issue' WHEN k IN (2, 3) OR k = 9 AND b % 3 <> 0 THEN 'check' WHEN k = 6 THEN 'resign' WHEN k = 5 AND b % 3 <> 0 OR k = 9 THEN 'revoke' ELSE 'beacon' END AS kind,
