@@ -2,42 +2,70 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import stored
 
 MERGE, REVIEW = 1.0, 0.4
+#: Parts into which the listings that share a key are cut.
+TILES = 16
 
 
-def blocked_pairs(probes: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that agree on any key: a union of equi-joins, never a cross product.
+def blocked_scores(probes: DataFrame, catalogue: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+    """``(probe_id, game_id, score)`` of pairs that agree on any key; nulls do not match.
 
-    Keys shared by more than a listing's worth of rows are the caller's to fold first; nulls do
-    not match.
+    One equi-join a key, which leaves out pairs that an earlier key has found, so a pair is made once, with its
+    score, and never moves again. There are as many pairs as a key's groups have, so groups are cut into tiles by listing.
     """
+    mine, theirs = _sides(probes, catalogue, weights)
+    tile, n = F.pmod(F.xxhash64("game_id"), F.lit(TILES)).cast("int"), int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = None
-    for k in keys:
-        left = probes.where(F.col(k).isNotNull()).select(F.col("probe_id"), F.col(k).alias("k"))
-        right = catalogue.where(F.col(k).isNotNull()).select(F.col("game_id"), F.col(k).alias("k"))
-        pairs = left.join(right, "k").select("probe_id", "game_id")
+    for nth, k in enumerate(keys):
+        left = mine.where(F.col(f"p_{k}").isNotNull()).withColumn("p_tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+        # a number of partitions is given, as what grows is the pairs and not the bytes by which partitions are merged
+        right = theirs.where(F.col(f"g_{k}").isNotNull()).withColumn("g_tile", tile).repartition(n, f"g_{k}", "g_tile")
+        agree = (F.col(f"p_{k}") == F.col(f"g_{k}")) & (F.col("p_tile") == F.col("g_tile"))
+        for before in keys[:nth]:
+            agree = agree & ~_same(before)
+        pairs = left.join(right, agree).select("probe_id", "game_id", _score(weights).alias("score"))
         out = pairs if out is None else out.unionAll(pairs)
-    return out.distinct()
+    return out
+
+
+def _sides(probes: DataFrame, catalogue: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    return probes.select("probe_id", *[F.col(k).alias(f"p_{k}") for k in weights]), catalogue.select("game_id", *[F.col(k).alias(f"g_{k}") for k in weights])
+
 
+def _same(k: str) -> Column:
+    return F.coalesce(F.col(f"p_{k}") == F.col(f"g_{k}"), F.lit(False))
 
-def scores(pairs: DataFrame, probes: DataFrame, catalogue: DataFrame, weights: dict[str, float]) -> DataFrame:
+
+def _score(weights: dict[str, float]) -> Column:
     """Sum of the weights of matching signals."""
-    mine = probes.select("probe_id", *[F.col(k).alias(f"p_{k}") for k in weights])
-    theirs = catalogue.select("game_id", *[F.col(k).alias(f"g_{k}") for k in weights])
-    both = pairs.join(mine, "probe_id").join(theirs, "game_id")
-    score = sum((F.when(F.col(f"p_{k}") == F.col(f"g_{k}"), F.lit(w)).otherwise(F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    return both.select("probe_id", "game_id", F.round(score, 6).alias("score"))
+    return F.round(sum((F.when(_same(k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in weights.items()), F.lit(0.0)), 6)
+
 
+def verdicts(probes: DataFrame, catalogue: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+    """The best of the candidates that agree with a probe on any key, the lower id among equals, and what follows from its score.
 
-def verdicts(scored: DataFrame) -> DataFrame:
-    """The best candidate of each probe, the lower id among equals, and what follows from its score."""
+    Pairs are not made. Of the listings that agree on at least a set of signals one with the lowest id is looked up for each
+    set that holds a key. Weights are not negative, so the best candidate is among them: it is what its own set finds.
+    """
+    if min(weights.values()) < 0:
+        raise ValueError("weights must not be negative")
+    mine, theirs = _sides(probes, catalogue, weights)
+    found = None
+    for signals in (s for n in range(1, len(weights) + 1) for s in combinations(weights, n) if set(s) & set(keys)):
+        least = theirs.dropna(subset=[f"g_{k}" for k in signals]).groupBy(*[F.col(f"g_{k}").alias(f"s_{k}") for k in signals]).agg(F.min(F.struct(*theirs.columns)).alias("g"))
+        some = mine.join(least, reduce(and_, [F.col(f"p_{k}") == F.col(f"s_{k}") for k in signals])).select(*mine.columns, "g.*").select("probe_id", "game_id", _score(weights).alias("score"))
+        found = some if found is None else found.unionAll(some)
     best = F.max_by(F.struct("game_id", "score"), F.struct(F.col("score"), -F.col("game_id")))
-    out = scored.groupBy("probe_id").agg(best.alias("b")).select("probe_id", F.col("b.game_id").alias("game_id"), F.col("b.score").alias("score"))
+    out = found.groupBy("probe_id").agg(best.alias("b")).select("probe_id", F.col("b.game_id").alias("game_id"), F.col("b.score").alias("score"))
     return out.withColumn("verdict", F.when(F.col("score") >= MERGE, "merge").when(F.col("score") >= REVIEW, "review").otherwise("fresh"))
 
 

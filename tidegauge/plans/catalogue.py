@@ -273,22 +273,24 @@ _SCORED = f"""WITH {_PROBES}, scored AS (
   FROM probe p, known k WHERE p.balance = k.balance OR p.bucket = k.bucket)"""
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+_KEYS, _WEIGHTS = ["balance", "bucket"], {"nation": 0.3, "balance": 0.5, "bucket": 0.25}
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     probes = C.table(spark, d, "supplier").selectExpr("s_suppkey AS probe_id", "s_nationkey AS nation", "CAST(floor(s_acctbal / 50) AS BIGINT) AS balance", "s_suppkey % 97 AS bucket")
     known = C.table(spark, d, "customer").selectExpr("c_custkey AS game_id", "c_nationkey AS nation", "CAST(floor(c_acctbal / 50) AS BIGINT) AS balance", "c_custkey % 97 AS bucket")
-    pairs = identity.blocked_pairs(probes, known, ["balance", "bucket"])
-    return identity.scores(pairs, probes, known, {"nation": 0.3, "balance": 0.5, "bucket": 0.25})
+    return probes, known
 
 
 @query(_SCORED + " SELECT probe_id, game_id, CAST(score AS DOUBLE) AS score FROM scored")
 def identity_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
+    return identity.blocked_scores(*_sides(spark, d), _KEYS, _WEIGHTS)
 
 
 @query(_SCORED + """, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, game_id) = 1)
 SELECT probe_id, game_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 1.0 THEN 'merge' WHEN score >= 0.4 THEN 'review' ELSE 'fresh' END AS verdict FROM best""")
 def identity_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return identity.verdicts(_scored(spark, d))
+    return identity.verdicts(*_sides(spark, d), _KEYS, _WEIGHTS)
 
 
 @query("""WITH old AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
