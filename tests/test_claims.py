@@ -1,5 +1,6 @@
 """The claim lifecycle, one transition after another."""
 
+import random
 from datetime import datetime, timedelta
 
 from tidegauge.operators import claims as K
@@ -77,3 +78,26 @@ def test_owners_and_the_sweep(spark):
 def test_no_events(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert K.claim_states(none).collect() == [] and K.claim_verdicts(none, K.claim_states(none)).collect() == []
+
+
+def test_kept_rows_equal_brute_force_also_over_many_batches(spark):
+    r = random.Random(5)
+    rows = [(None if k == 4 else k, n, START + timedelta(minutes=a), START + timedelta(minutes=a + r.randint(0, 50))) for n, (k, a) in enumerate((r.randint(0, 4), r.randint(0, 900)) for _ in range(600))]
+    made = spark.createDataFrame(rows, "k int, id long, a timestamp_ntz, b timestamp_ntz").selectExpr("k", "struct(a AS at, id AS id) AS begins", "struct(b AS at, -1L AS id) AS ends")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(((x.k, x.nth, x.begins.id) for x in K.greedy(made, ["k"], "begins", "ends").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, until, nth = [], {}, {}
+    for k, n, a, b in sorted(rows, key=lambda x: (x[2], x[1])):
+        if k not in until or (a, n) >= until[k]:
+            until[k], nth[k] = (b, -1), nth.get(k, -1) + 1
+            want.append((k, nth[k], n))
+    assert got == sorted(want, key=str) and 50 < len(got) < 500
+
+
+def test_no_claim_looks_at_all_later_ones(spark):
+    """Frames from the next row to the end are worked out anew for each row; lists that a fold appends to are copied at each step."""
+    plan = K.claim_states(history(spark, (0, "issue", 1, "a", "join")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, 1, unboundedfollowing" not in plan and "aggregate(" not in plan
