@@ -78,3 +78,14 @@ def test_states_move_only_where_the_rules_let_them(spark):
     last, third = after(9)[1], after(3)[1]
     assert (last.unlisted_by, last.unlisted_at, last.excluded_reason, last.moves) == ("u2", hours(7), None, 5) and (third.excluded_reason, third.excluded_at) == ("spam", hours(2))
     assert after(9)[2].state == "quiet" and after(1)[1].archived_at == hours(0)
+
+
+def test_visits_of_one_slug_are_many_tasks(spark):
+    visits = spark.range(400).coalesce(1).selectExpr("id", "CASE WHEN id < 0 THEN 'two' ELSE 'one' END AS slug", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS at")
+    held = spark.createDataFrame([("one", 1, None, hours(100)), ("one", 2, hours(100), None), ("one", 3, None, START), ("one", 4, hours(399), None), ("one", 5, hours(400), None), ("two", 6, None, None)], "slug string, game_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    found = S.holders_at(visits, held)
+    assert sorted((r.id, r.game_id) for r in found.collect()) == sorted([(n, 1 if n < 100 else 2) for n in range(400)] + [(399, 4)])
+    parts = [r["count"] for r in found.selectExpr("spark_partition_id() AS part").groupBy("part").count().collect()]
+    assert max(parts) < 300
+    none = S.holders_at(visits.withColumn("slug", F.lit(None).cast("string")), held)
+    assert [r.game_id for r in none.collect()] == [None] * 400
