@@ -62,3 +62,10 @@ def test_slugs_never_collide(spark):
 def test_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "from_id long, to_id long")
     assert sorted(tuple(r) for r in reachable_from(edges, 1).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_a_line_is_read_once_however_often_its_words_are_asked_for(spark):
+    rows = spark.createDataFrame([("5 players online",)], "x string")
+    for column, most in ((text.redacted(F.col("x")), 2), (text.banner_count(F.col("x")), 2), (text.who_reading(F.col("x")), 3)):
+        plan = rows.select(column.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") <= most

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.functions.net import once
+
 SLUG_LENGTH = 64
 # Latin letters and what a slug writes for them.
 SINGLE_FOLDS = {
@@ -146,17 +148,27 @@ def stated_counts(line: Column) -> Column:
     noun stand in brackets. Who logged out, and who was once registered, is not there. Tens and units in words are one number, and
     of ``one of three players`` the three count.
     """
-    words = _words(line)
+    return once(_words(line), lambda words: once(_signs(line, words), lambda signs: _counts(words, signs)))
+
+
+def _signs(line: Column, words: Column) -> Column:
+    """What holds of a line as a whole, whichever of its numbers is looked at."""
+    return F.struct(
+        line.rlike("[:=]").alias("colon"), line.rlike(r"\[\s*[0-9]+\s+[A-Za-z]+\s*[;,\]]").alias("bracket"), _has(words, STATES).alias("state"),
+        line.rlike(rf"(?i)\b(?:{'|'.join(NOUNS)}) on(?: (?:now|right now|currently|at the moment))?\s*(?:[.,;!\])]|$)").alias("on"),
+        (line.rlike(r"(?i)\blogged (?:off|out)\b") | _has(words, PAST)).alias("gone"),
+    )
+
+
+def _counts(words: Column, signs: Column) -> Column:
     word = lambda i, k=0: F.get(words, i + k)
     is_in = lambda w, vocabulary: F.coalesce(w.isin(vocabulary), F.lit(False))
     following = lambda i: F.slice(words, i + 2, REACH)
-    labelled = lambda i: (is_in(word(i, -1), NOUNS) | (is_in(word(i, -1), STATES) & is_in(word(i, -2), NOUNS)) | (is_in(word(i, -1), ["on"]) & is_in(word(i, -2), NOUNS))) & line.rlike("[:=]")
+    labelled = lambda i: (is_in(word(i, -1), NOUNS) | (is_in(word(i, -1), STATES) & is_in(word(i, -2), NOUNS)) | (is_in(word(i, -1), ["on"]) & is_in(word(i, -2), NOUNS))) & signs["colon"]
     late = lambda i: F.when(is_in(word(i, -1), ADVERBS), 1).otherwise(0)
     there = lambda i: is_in(F.get(words, i - 2 - late(i)), ["there"]) & is_in(F.get(words, i - 1 - late(i)), ["are", "is"])
-    on = line.rlike(rf"(?i)\b(?:{'|'.join(NOUNS)}) on(?: (?:now|right now|currently|at the moment))?\s*(?:[.,;!\])]|$)")
-    bracketed = lambda i: line.rlike(r"\[\s*[0-9]+\s+[A-Za-z]+\s*[;,\]]") & is_in(word(i, 1), NOUNS)
-    gone = line.rlike(r"(?i)\blogged (?:off|out)\b") | _has(words, PAST)
-    about = lambda i: labelled(i) | ((_has(following(i), NOUNS) | is_in(word(i), ["nobody"])) & (_has(words, STATES) | there(i) | on | bracketed(i)) & ~gone)
+    bracketed = lambda i: signs["bracket"] & is_in(word(i, 1), NOUNS)
+    about = lambda i: labelled(i) | ((_has(following(i), NOUNS) | is_in(word(i), ["nobody"])) & (signs["state"] | there(i) | signs["on"] | bracketed(i)) & ~signs["gone"])
     part = lambda i: is_in(word(i), ["one"]) & is_in(word(i, 1), ["of"])
     unit = lambda i: is_in(word(i), NUMBER_WORDS[1:10])
     joined = lambda i: unit(i) & is_in(word(i, -1), TENS)
@@ -181,9 +193,9 @@ def _lines(text: Column) -> Column:
 
 def banner_count(banner: Column) -> Column:
     """Players a banner states; null if it states none, too many to believe, or two different numbers. Lines on staff alone do not count."""
-    lines = F.filter(_lines(banner), lambda x: ~_has(_words(x), STAFF) | _has(_words(x), NOUNS))
+    lines = F.filter(_lines(banner), lambda x: once(_words(x), lambda w: ~_has(w, STAFF) | _has(w, NOUNS)))
     found = F.array_distinct(F.flatten(F.transform(lines, stated_counts)))
-    return F.when((F.size(found) == 1) & (F.element_at(found, 1) <= MOST), F.element_at(found, 1))
+    return once(found, lambda f: F.when((F.size(f) == 1) & (F.element_at(f, 1) <= MOST), F.element_at(f, 1)))
 
 
 def who_reading(text: Column, near_end: int = 6) -> Column:
@@ -192,19 +204,28 @@ def who_reading(text: Column, near_end: int = 6) -> Column:
     The last count stated in its last lines; else, below a heading of names and idle times, the rows
     of the table. A listing that ends in a prompt for a name or password counts only if it is not zero.
     """
-    lines = _lines(F.coalesce(text, F.lit("")))
-    last = F.slice(lines, F.greatest(F.size(lines) - near_end + 1, F.lit(1)), F.lit(near_end))
-    stated = F.filter(F.transform(last, lambda x: F.get(stated_counts(x), F.lit(0))), lambda n: n.isNotNull())
-    count = F.coalesce(F.when(F.size(stated) > 0, F.element_at(stated, -1)), named_people(text))
-    prompt = F.when(F.size(lines) > 0, F.element_at(lines, -1).rlike(r"(?i)\b(name|password|login|account)\b[^:]{0,20}[:?]\s*$|\([yY]/[nN]\)\s*[?:]?\s*$")).otherwise(False)
-    heading = F.array_position(F.transform(lines, lambda x: _has(_words(x), ["name", "player"]) & _has(_words(x), ["idle", "on"])), F.lit(True))
-    body = F.filter(F.slice(lines, heading.cast("int") + 1, F.size(lines)), lambda x: ~x.rlike(r"^[-=+ \t]+$"))
-    rows = F.size(F.filter(body, lambda x: F.size(stated_counts(x)) == 0))
-    kind = (
-        F.when(count.isNotNull() & ((count > 0) | ~prompt), "count").when(prompt, "login_prompt")
-        .when(heading > 0, "per_player").otherwise("unreadable")
-    )
-    return F.struct(kind.alias("confidence"), F.when(kind == "count", count).when(kind == "per_player", rows).alias("cnt"))
+
+    def read(lines: Column) -> Column:
+        last = F.slice(lines, F.greatest(F.size(lines) - near_end + 1, F.lit(1)), F.lit(near_end))
+        stated = F.filter(F.transform(last, lambda x: F.get(stated_counts(x), F.lit(0))), lambda n: n.isNotNull())
+        count = F.coalesce(once(stated, lambda s: F.when(F.size(s) > 0, F.element_at(s, -1))), named_people(text))
+        prompt = F.when(F.size(lines) > 0, F.element_at(lines, -1).rlike(r"(?i)\b(name|password|login|account)\b[^:]{0,20}[:?]\s*$|\([yY]/[nN]\)\s*[?:]?\s*$")).otherwise(False)
+        heading = F.array_position(F.transform(lines, lambda x: once(_words(x), lambda w: _has(w, ["name", "player"]) & _has(w, ["idle", "on"]))), F.lit(True))
+        return once(F.struct(count.alias("count"), prompt.alias("prompt"), heading.alias("heading")), lambda seen: once(kind(seen), lambda k: reading(lines, seen, k)))
+
+    def kind(seen: Column) -> Column:
+        count, prompt = seen["count"], seen["prompt"]
+        return (
+            F.when(count.isNotNull() & ((count > 0) | ~prompt), "count").when(prompt, "login_prompt")
+            .when(seen["heading"] > 0, "per_player").otherwise("unreadable")
+        )
+
+    def reading(lines: Column, seen: Column, kind: Column) -> Column:
+        body = F.filter(F.slice(lines, seen["heading"].cast("int") + 1, F.size(lines)), lambda x: ~x.rlike(r"^[-=+ \t]+$"))
+        rows = F.size(F.filter(body, lambda x: F.size(stated_counts(x)) == 0))
+        return F.struct(kind.alias("confidence"), F.when(kind == "count", seen["count"]).when(kind == "per_player", rows).alias("cnt"))
+
+    return once(_lines(F.coalesce(text, F.lit(""))), read)
 
 
 def redacted(text: Column) -> Column:
@@ -214,7 +235,8 @@ def redacted(text: Column) -> Column:
     def masked(line: Column) -> Column:
         parts = F.regexp_extract_all(line, F.lit(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
         hidden = lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"[0-9]", "9")
-        states = F.size(stated_counts(line)) > 0
-        return F.array_join(F.transform(parts, lambda w: F.when(F.lower(w).isin(kept) | (states & w.rlike("^[0-9]+$")), w).otherwise(hidden(w))), "")
+        shown = lambda x, w: F.when(F.lower(w).isin(kept) | (x["states"] & w.rlike("^[0-9]+$")), w).otherwise(hidden(w))
+        read = F.struct(parts.alias("parts"), (F.size(stated_counts(line)) > 0).alias("states"))
+        return once(read, lambda x: F.array_join(F.transform(x["parts"], lambda w: shown(x, w)), ""))
 
     return F.array_join(F.transform(F.split(text, "\n"), masked), "\n")
