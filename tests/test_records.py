@@ -47,3 +47,16 @@ def test_files_of_records(spark, tmp_path):
     (tmp_path / "bare.md").write_text("Body")
     got = {r.path.rsplit("/")[-1]: (r.meta, r.body) for r in R.front_matter(spark, f"{tmp_path}/*.md").collect()}
     assert got == {"doc.md": ({"title": "A: b"}, "Body\n---\n"), "bare.md": ({}, "Body")}
+
+
+def test_many_documents_in_one_file(spark, tmp_path):
+    (tmp_path / "all.md").write_text("---\ntitle: A\n---\nOne\n\nmore\x1e---\ntitle: B\n---\nTwo\x1eBare", newline="")
+    got = sorted((r.meta.get("title") or "", r.body) for r in R.front_matter(spark, str(tmp_path / "all.md"), R.SEPARATOR).collect())
+    assert got == [("", "Bare"), ("A", "One\n\nmore"), ("B", "Two")]
+
+
+def test_documents_are_not_a_file_each(spark):
+    from tidegauge.plans import QUERIES
+
+    found = QUERIES["records_read"](spark, "/root/testdata/sf0.001")
+    assert 0 < len([f for f in found.inputFiles() if "/documents/" in f]) <= 4

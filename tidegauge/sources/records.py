@@ -10,6 +10,8 @@ from tidegauge.functions.text import address
 PROBE = """host string, port int, observed_at timestamp, outcome string, offered_options array<string>, banner string, info string,
  version string, who struct<confidence:string,count:int>, mssp map<string,array<string>>, mssp_outcome string,
  banner_player_count int, failure struct<cause:string,detail:string>"""
+#: Fixed value: the control character that parts documents of one file, as in ASCII.
+SEPARATOR = "\x1e"
 GATEWAY = "name string, host string, port int, status string, services map<string,string>, driver string, mudlib string, mud_type string"
 
 
@@ -31,9 +33,13 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(address(F.col("value")).alias("a")).where("a IS NOT NULL").select("a.*").distinct()
 
 
-def front_matter(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown documents as ``(path, meta, body)``; meta is a map of the lines between the marks."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+def front_matter(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Markdown documents as ``(path, meta, body)``; meta is a map of the lines between the marks.
+
+    A file is one document, or, where a ``separator`` is given, the documents that end in it: many small documents need not be as many files.
+    """
+    read = spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator)
+    docs = read.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     head = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n", 1)
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
