@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from tidegauge import streaming as S
@@ -116,3 +117,51 @@ def test_payloads_are_new_again_after_their_time(spark, tmp_path):
     rows = stream(spark, tmp_path / "in", batches)
     got = X.finished(X.first_payloads(rows, "key", "at", "value", 2, "10 minutes"), "payloads").collect()
     assert sorted(map(tuple, got)) == [(1, "a", micros(0)), (1, "a", micros(3 * day)), (1, "b", micros(day)), (2, "a", micros(0))]
+
+
+class Held:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+@pytest.mark.parametrize("processor", [X._Silence(3_600_000_000), X._Retention(7), X._Fresh(3_600_000_000)])
+def test_many_rows_of_a_key_are_few_calls_to_the_store(processor):
+    held = Held()
+    processor.init(held)
+    rows = [pd.DataFrame({"at_us": [micros(m) for m in range(n, 9000, 3)], "day": [m // 1440 for m in range(n, 9000, 3)]}) for n in range(3)]
+    list(processor.handleInputRows((1, "a"), iter(rows), held))
+    assert held.value is not None and held.calls <= 4 and len(held.timers) == 1
+
+
+def test_a_span_that_the_watermark_is_inside_of_is_no_silence(spark, tmp_path):
+    batches = [[(1, 0, 0, "x", 1), (1, 50, 0, "x", 1), (1, 100, 0, "x", 1)], [(2, 85, 0, "x", 1)], [(1, 80, 0, "x", 1), (2, 125, 0, "x", 1)], [(1, 170, 0, "x", 1)], [(2, 400, 0, "x", 1)]]
+    rows = stream(spark, tmp_path / "in", batches).select("key", "at")
+    got = X.finished(X.silences(rows, "key", "at", 1, "30 minutes"), "silences").collect()
+    want = [(1, "silent", 100, 160), (1, "back", 100, 170), (1, "silent", 170, 230), (2, "silent", 125, 185)]
+    assert sorted(map(tuple, got)) == sorted((k, kind, micros(a), micros(b)) for k, kind, a, b in want)

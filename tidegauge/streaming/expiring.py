@@ -1,7 +1,7 @@
 """State that ends by itself: silence as an event, retention by days, and payloads forgotten after their time.
 
-These jobs keep each entry of a key's state on its own (a map by time), so that a batch touches what it
-adds and what ends, not all that is held. All timers run on the watermark, so a job over the same rows
+A call to the state store costs far more than a row, so a key's rows of one batch are folded first and its state is
+read and written once: spans and days, which are few as they end; payloads are keys of their own. All timers run on the watermark, so a job over the same rows
 gives the same answer; a time to live on the machine's clock would not. They need the RocksDB state store, which :func:`finished` sets for the query that it runs.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,43 +25,67 @@ DAY_MS = 86_400_000
 
 
 class _Silence(StatefulProcessor):
-    """``silent`` once a key has had no row for the gap, ``back`` at its next row; both only when the watermark has passed them."""
+    """``silent`` once a key has had no row for the gap, ``back`` at its next row; both only when the watermark has passed them.
+
+    Times that the watermark has not passed are held as spans within which no gap is, (first, last) each, as nothing is said inside of one.
+    """
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_us long, is_silent boolean")
-        self.held = handle.getMapState("held", "at_us long", "n long")  # times that the watermark has not passed
+        self.state = handle.getValueState("state", "last_us long, is_silent boolean, firsts array<long>, lasts array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last, silent, spans = self._held()
         for batch in rows:
-            for at in batch["at_us"].tolist():
-                self.held.updateValue((at,), (1,))
-        yield from self._walk(key[0], timerValues.getCurrentWatermarkInMs())
+            times = np.unique(batch["at_us"].to_numpy(dtype="int64"))
+            cuts = np.flatnonzero(np.diff(times) > self.gap)
+            spans = self._merged(spans + list(zip(times[np.r_[0, cuts + 1]].tolist(), times[np.r_[cuts, len(times) - 1]].tolist())) if len(times) else spans)
+        yield from self._walk(key[0], last, silent, spans, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._walk(key[0], timerValues.getCurrentWatermarkInMs())
-
-    def _walk(self, key: int, mark: int) -> Iterator[pd.DataFrame]:
-        times = sorted(k[0] for k in self.held.keys())
-        passed = [t for t in times if t // 1000 < mark]
-        last, silent = self.last.get() if self.last.exists() else (None, False)
-        out = []
-        for at in passed:
-            if last is not None and at - last > self.gap:
+        yield from self._walk(key[0], *self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def _held(self) -> tuple[int | None, bool, list[tuple[int, int]]]:
+        if not self.state.exists():
+            return None, False, []
+        last, silent, firsts, lasts = self.state.get()
+        return last, silent, list(zip(firsts, lasts))
+
+    def _merged(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for first, last in sorted(spans):
+            if out and first - out[-1][1] <= self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last))
+            else:
+                out.append((first, last))
+        return out
+
+    def _walk(self, key: int, last: int | None, silent: bool, spans: list[tuple[int, int]], mark: int) -> Iterator[pd.DataFrame]:
+        out, passed, within = [], 0, False
+        for first, end in spans:
+            if first // 1000 >= mark:
+                break
+            if last is not None and first - last > self.gap:
                 if not silent:
                     out.append((key, "silent", last, last + self.gap))
-                out.append((key, "back", last, at))
+                out.append((key, "back", last, first))
+            within = end // 1000 >= mark  # the watermark is inside of it, so the key is not silent
+            at = first if within else end
             last, silent = at if last is None else max(at, last), False
-            self.held.removeKey((at,))
-        if last is not None and not silent and (last + self.gap) // 1000 < mark:
+            if within:
+                break
+            passed += 1
+        rest = spans[passed:]
+        if last is not None and not silent and not within and (last + self.gap) // 1000 < mark:
             out.append((key, "silent", last, last + self.gap))
             silent = True
-        if last is not None:
-            self.last.update((last, silent))
-        waits = [t // 1000 + 1 for t in times[len(passed) : len(passed) + 1]] + ([(last + self.gap) // 1000 + 1] if last is not None and not silent else [])
+        self.state.update((last, silent, [s[0] for s in rest], [s[1] for s in rest]))
+        waits = [rest[0][1 if within else 0] // 1000 + 1] if rest else []
+        if last is not None and not silent and not within:
+            waits.append((last + self.gap) // 1000 + 1)
         if waits:
             self.handle.registerTimer(max(min(waits), mark + 1))
         if out:
@@ -88,31 +113,40 @@ class _Retention(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "day int", "entries long")
+        self.counts = handle.getValueState("counts", "days array<int>, entries array<long>")
 
     def _ends(self, day: int) -> int:
         return (day + 1 + self.days) * DAY_MS
 
+    def _held(self) -> dict[int, int]:
+        return dict(zip(*self.counts.get())) if self.counts.exists() else {}
+
+    def _keep(self, held: dict[int, int], mark: int) -> None:
+        """All days of a key in one write, and a timer for the first that ends."""
+        if held:
+            self.counts.update((list(held), list(held.values())))
+            self.handle.registerTimer(max(self._ends(min(held)), mark + 1))
+        else:
+            self.counts.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        mark, held, out = timerValues.getCurrentWatermarkInMs(), self._held(), []
         for batch in rows:
-            for day, n in batch["day"].value_counts().items():
-                day, n = int(day), int(n)
+            for day, n in zip(*(x.tolist() for x in np.unique(batch["day"].to_numpy(), return_counts=True))):
                 if self._ends(day) <= mark:  # came after its day had gone
                     out.append((key[0], day, n))
-                    continue
-                before = self.counts.getValue((day,))[0] if self.counts.containsKey((day,)) else 0
-                self.counts.updateValue((day,), (before + n,))
-                self.handle.registerTimer(self._ends(day))
+                else:
+                    held[day] = held.get(day, 0) + n
+        self._keep(held, mark)
         if out:
             yield pd.DataFrame(out, columns=["key", "day", "entries"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1 - self.days
-        if self.counts.containsKey((day,)):
-            n = self.counts.getValue((day,))[0]
-            self.counts.removeKey((day,))
-            yield pd.DataFrame([(key[0], day, n)], columns=["key", "day", "entries"])
+        mark, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        out = [(key[0], day, n) for day, n in sorted(held.items()) if self._ends(day) <= mark]
+        if out:
+            self._keep({day: n for day, n in held.items() if self._ends(day) > mark}, mark)
+            yield pd.DataFrame(out, columns=["key", "day", "entries"])
 
     def close(self) -> None:
         pass
@@ -126,29 +160,29 @@ def expired_days(rows: DataFrame, key: str, at: str, days: int, delay: str = job
 
 
 class _Fresh(StatefulProcessor):
-    """Fingerprints of a key with the time they were given out; one whose time has run out is new again."""
+    """When a payload of a key was given out; once its time has run out it is new again. One timer ends it, which looks at nothing else."""
 
     def __init__(self, live_us: int):
         self.live = live_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "fingerprint string", "at_us long")
+        self.seen = handle.getValueState("seen", "at_us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        for at, fingerprint in sorted((at, f) for batch in rows for at, f in zip(batch["at_us"].tolist(), batch["fingerprint"].tolist())):
-            if not self.seen.containsKey((fingerprint,)) or at >= self.seen.getValue((fingerprint,))[0] + self.live:
-                out.append((key[0], fingerprint, at))
-                self.seen.updateValue((fingerprint,), (at,))
-                self.handle.registerTimer((at + self.live) // 1000 + 1)
+        times = np.unique(np.concatenate([np.unique(batch["at_us"].to_numpy(dtype="int64")) for batch in rows]))
+        out, nth = [], np.searchsorted(times, self.seen.get()[0] + self.live) if self.seen.exists() else 0
+        while nth < len(times):
+            out.append((*key, int(times[nth])))
+            nth = np.searchsorted(times, out[-1][2] + self.live)
         if out:
+            self.seen.update((out[-1][2],))
+            self.handle.registerTimer((out[-1][2] + self.live) // 1000 + 1)
             yield pd.DataFrame(out, columns=["key", "fingerprint", "at_us"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        for name in [k[0] for k, v in self.seen.iterator() if (v[0] + self.live) // 1000 < mark]:
-            self.seen.removeKey((name,))
+        if self.seen.exists() and (self.seen.get()[0] + self.live) // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.seen.clear()
         yield from ()
 
     def close(self) -> None:
@@ -162,7 +196,7 @@ def first_payloads(rows: DataFrame, key: str, at: str, fingerprint: str, days: f
     """
     marked = rows.dropna(subset=[key, at, fingerprint]).withWatermark(at, delay)
     named = marked.select(F.col(key).cast("long").alias("key"), F.unix_micros(at).alias("at_us"), F.col(fingerprint).alias("fingerprint"), at)
-    return named.groupBy("key").transformWithStateInPandas(_Fresh(int(days * 1000 * DAY_MS)), "key long, fingerprint string, at_us long", "append", "EventTime")
+    return named.groupBy("key", "fingerprint").transformWithStateInPandas(_Fresh(int(days * 1000 * DAY_MS)), "key long, fingerprint string, at_us long", "append", "EventTime")
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
