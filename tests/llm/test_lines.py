@@ -102,3 +102,34 @@ def test_common_words_have_long_lists_whatever_parts_them(spark, apart):
     listed = lines._listed(lines._distinct(lines._lines(texts), rarity, long)).where(lines.F.col("token") < long)
     assert listed.groupBy("token").count().agg({"count": "max"}).first()[0] < 1 << lines.LIST_BITS[0] + 1
     assert {(r.doc_id, r.line_no) for r in lines.later_matches(docs).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [0, 6])
+def test_groups_of_frequent_words(spark, monkeypatch, bits):
+    """All words frequent, lengths about the powers of two, copies less or more up to a ninth: the same result, with groups' lists long or short."""
+    monkeypatch.setattr(lines, "LIST_BITS", (1, 1))
+    monkeypatch.setattr(lines, "GROUP_LIST_BITS", bits)
+    monkeypatch.setattr(lines, "PART_BITS", 1)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(90)]
+    rows = []
+    for n in [*range(1, 20), 26, 31, 32, 33, 39, 40, 60, 64, 66, 80]:
+        base = rng.sample(words, n)
+        for _ in range(4):
+            line = [w for w in base if rng.random() > 0.08] + [w for w in words if w not in base and rng.random() < n / 1500]
+            rng.shuffle(line)
+            rows.append((len(rows), " ".join(line)))
+    gone = brute(rows)
+    assert {(r.doc_id, r.line_no) for r in lines.later_matches(frame(spark, rows)).collect()} == gone and len(gone) > 40
+
+
+def test_unrelated_long_lines_make_no_pairs(spark):
+    """Lines of 200 words, each in some 30 lines: they share many lists, and 64 bits of parity do not tell them apart."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(2000)]
+    docs = frame(spark, [(i, " ".join(rng.sample(words, 200))) for i in range(300)])
+    texts = lines._texts(docs)
+    rarity, long = lines._rarity(texts), lines._long_from(texts)
+    found = lines.durable_table(lines._distinct(lines._lines(texts), lines.durable_table(rarity, "test-rarity"), long), "test-lines")
+    listed = lines._with_sizes(lines._listed(found), lines.durable_table(lines._group_sizes(found), "test-sizes"))
+    assert lines._in_short_lists(listed).count() + lines._with_heads(listed).count() < 300  # 44,850 pairs there are

@@ -10,14 +10,26 @@ have to be joined to every word; any such order is right, and rare tokens first
 short. A line of n tokens is listed under its first n - ceil(4n/5) + 1 tokens; lines that match
 share one of them.
 
-A list whose token's magnitude says that it is not long is compared whole. A long one is dealt out in
+A list whose token's magnitude says that it is not long is compared whole. Lines with long ones in
+their prefix (poor lines) are listed under their short tokens and, for pairs that share none of those,
+under groups: their other tokens are dealt by hash into some n/3 segments, and what is in a segment is
+one token of a second kind. Two lines of n and m tokens that match differ in (n + m)/9 tokens at most,
+so in no more groups, and the prefix rule holds for groups as for tokens: with groups ordered by
+rarity, each line is listed under one more than may differ. Two or three frequent words that stand
+alone in a segment are far rarer than each of them, so a list's length does not grow with the tables,
+as a frequent word's does. The number of segments hangs on the length's power of two; a line that may
+match one over the next power is listed for both. Lines under 8 tokens are listed under all of their
+tokens, and less each one.
+
+The groups' lists are short or long by counts over slots, too. A long one is of near copies, or of
+words that often stand together; it is dealt out in
 parts of about 2 ** PART_BITS lines, in which a line is compared with the part's earliest line, its
 head, and with the BEFORE lines before it. Where copies vary, that finds
 nearly all in a few comparisons per line, so a group of copies never becomes all of its pairs. Lines
 not settled so are then joined with all that stands earlier in their long lists, whatever the parts;
 Spark splits lists there that are very long. Filters come before texts are looked up: length,
-position in the list, the parity of tokens over 64 hash slots (a bit that differs is a token that
-differs), and how many short lists the two have in common. The similarity is computed on 64-bit hashes of all words, first for each line's pair
+position in the list, and the parity of tokens over 64 or 128 hash slots (a bit that differs is a token that
+differs). The similarity is computed on 64-bit hashes of all words, first for each line's pair
 with most lists in common.
 
 Lists carry numbers only; the lines of pairs that passed all filters are looked up once for all of
@@ -31,7 +43,7 @@ with the same number are not later than one another and go only together; other
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +52,20 @@ from tidegauge.llm._shared import discard, durable_table, masked, without
 
 SLOT_BITS = 18
 HASH_BITS = 37
-#: Lists are long from a 2 ** -SHARE_BITS share of all words on, but never under the first nor over the second of these powers of two.
-SHARE_BITS, LIST_BITS = 17, (6, 11)
+#: Tokens have long lists from a 2 ** -SHARE_BITS share of all words on, but never under the first nor over the second of these powers of two.
+SHARE_BITS, LIST_BITS = 15, (6, 9)
+#: Groups have long lists from this power of two of lines on.
+GROUP_LIST_BITS = 6
+#: Keys of groups are above all tokens: this bit, 8 bits of rarity, and a hash.
+GROUP, GROUP_HASH_BITS = 1 << 62, 54
+#: Each token more makes a group so many powers of two rarer, as an estimate that only orders them.
+STEP = 8
+#: Parity has 128 bits from so many tokens on; 64 tell shorter lines apart.
+WIDE = 96
+#: Lines under so many tokens match others only if their tokens are the same, or the same less one.
+TINY = 8
 PART_BITS = 6
 BEFORE = 3
-#: Long lists are joined in so many shares of their tokens, one after the other, so that their shuffles take less disk.
-SHARES = 2
 HAS_WORDS = r"[^ \t\r]"
 LINE = ["doc_id", "line_no"]
 
@@ -75,97 +95,161 @@ def _slot(word: Column) -> Column:
     return F.hash(word).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
+def _sizes(keys: DataFrame, shift: int) -> DataFrame:
+    """One row, one array: for each slot, the order of magnitude of how often its ``keys(w)`` occur, above ``shift`` bits."""
+    every = keys.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
+    counts = keys.select(_slot(F.col("w")).alias("slot"), F.lit(1).alias("one")).union(every).groupBy("slot").agg(F.sum("one").alias("n"))
+    magnitude = F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    placed = counts.select(F.shiftleft(F.col("slot").cast("long"), 8).bitwiseOR(magnitude).alias("x"))
+    return placed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.shiftleft(x.bitwiseAND(F.lit(255).cast("long")), shift)).alias("sizes"))
+
+
+def _size(sizes: Column, key: Column) -> Column:
+    return F.coalesce(F.get(sizes, _slot(key)), F.lit(0).cast("long"))  # never null, so arrays of keys sort as plain numbers
+
+
 def _rarity(texts: DataFrame) -> DataFrame:
-    """One row, one array: for each slot, the order of magnitude of how often its tokens occur, above the 37 bits of a hash."""
+    """The magnitudes of tokens' slots, above the 37 bits of a hash."""
     lines = F.replace("text", F.lit("\n"), F.lit(" "))
     words = texts.select(F.explode(F.split(F.when(_tabs("text"), F.translate("text", "\n\t\r", "   ")).otherwise(lines), " ")).alias("w"))  # apart as words_of has them
-    counts = words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
-    sizes = counts.select("slot", F.shiftleft(F.floor(F.log2("n")).cast("long") + 1, HASH_BITS).alias("size"))
-    every = texts.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("size"))
-    filled = sizes.union(every).groupBy("slot").agg(F.max("size").alias("size"))
-    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda x: x["size"]).alias("sizes"))
+    return _sizes(words, HASH_BITS)
 
 
 def _long_from(texts: DataFrame) -> int:
-    """The token from which on lists are long, by the number of white spaces within lines of all texts."""
-    words = F.when(_tabs("text"), F.translate("text", " \t\r", "")).otherwise(F.replace("text", F.lit(" "), F.lit("")))
-    spaces = texts.agg(F.sum(F.length("text") - F.length(words)).alias("n")).first()["n"] or 0
-    bits = min(max(int(spaces).bit_length() - 1 - SHARE_BITS, LIST_BITS[0]), LIST_BITS[1])
+    """The token from which on lists are long, by the number of words in all texts, taken as an eighth of their bytes."""
+    words = (texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // 8
+    bits = min(max(words.bit_length() - 1 - SHARE_BITS, LIST_BITS[0]), LIST_BITS[1])
     return (bits + 1) << HASH_BITS
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _groups(tokens: Column, top: Column, wanted: Column) -> Column:
+    """Keys of the ``wanted`` rarest groups of a line's long ``tokens``, for lines of fewer than ``top`` tokens."""
+    segments = F.least(F.floor(1.5 * (F.floor((2 * top - 2) / 9) + 1)), F.lit(1 << 20)).cast("long")
+    bits = HASH_BITS + 7  # of a token
+    none = F.array().cast("array<long>")
+
+    def keyed(rarity: Column, *what: Column) -> Column:
+        return F.shiftleft(rarity, GROUP_HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*what), 64 - GROUP_HASH_BITS)).bitwiseOR(F.lit(GROUP))
+
+    def of_dealt(dealt: Column) -> Column:
+        segment = lambda i: F.shiftrightunsigned(F.get(dealt, i), bits)
+        last = F.size(dealt)
+        starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i == 0) | (segment(i) != segment(i - 1)))
+
+        def of_starts(starts: Column) -> Column:
+            def key(start: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(starts, k + 1), last) - start
+                magnitude = F.shiftright(F.get(dealt, start).bitwiseAND(F.lit((1 << bits) - 1)), HASH_BITS)
+                rarity = F.greatest(F.lit(0).cast("long"), 128 + magnitude - STEP * (n - 1))
+                return F.coalesce(keyed(rarity, segments, F.slice(dealt, start + 1, n)), F.lit(GROUP))
+
+            found = F.slice(F.sort_array(F.transform(starts, key)), F.lit(1), wanted)
+            empty = F.array_except(F.sequence(F.lit(0).cast("long"), segments - 1), F.transform(starts, segment))
+            more = F.transform(F.slice(empty, F.lit(1), F.greatest(wanted - F.size(starts), F.lit(0))), lambda k: keyed(F.lit(255).cast("long"), segments, k))
+            return F.when(F.size(starts) >= wanted, found).otherwise(F.concat(found, more))
+
+        return _once(starts, of_starts)
+
+    dealt = F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.pmod(t, segments), bits).bitwiseOR(t)))
+    return F.when((wanted > 0) & (F.size(tokens) > 0), _once(dealt, of_dealt)).otherwise(none)
+
+
+def _tiny(tokens: Column, n: Column) -> Column:
+    """Keys of a line under or of TINY tokens: all of them, and all but each one."""
+    key = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit("tiny"), t), 2).bitwiseOR(F.lit(GROUP))
+    less = F.when((n > 4) & (n <= TINY), F.transform(tokens, lambda t: key(F.array_remove(tokens, t))))
+    return F.concat(F.when(n < TINY, F.array(key(tokens))).otherwise(F.array().cast("array<long>")), F.coalesce(less, F.array().cast("array<long>")))
+
+
 def _distinct(lines: DataFrame, rarity: DataFrame, long: int) -> DataFrame:
-    """``(doc_id, line_no, line, n, parity, prefix, known, limit)`` of each different line, where it stands first.
+    """``(doc_id, line_no, line, n, p, q, prefix)`` of each different line, where it stands first.
 
-    ``known`` of the prefix have short lists, and up to ``limit`` (the upper bits of a token) the line has no others.
     A token is a number of 44 bits, as many as lists need: its magnitude, then its hash. The array of
-    magnitudes is a scalar, not a column of each row.
+    magnitudes is a scalar, not a column of each row. ``prefix`` has tokens with short lists, then keys
+    of groups if it would have had others; ``p`` is the parity of all over 64 slots, ``q`` of half of them.
     """
     once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("at"), F.first("line").alias("line")).select("at.*", "line")
 
     def key(w: Column) -> Column:
-        return F.get(F.col("sizes"), _slot(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+        return _size(F.col("sizes"), w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
 
     sized = once.withColumn("sizes", rarity.scalar())
     tokens = sized.select(*LINE, "line", F.sort_array(F.array_distinct(F.transform(words_of("line"), key))).alias("tokens"))
     tokens = tokens.withColumn("n", F.size("tokens"))
-    parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
-    prefix = F.slice("tokens", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    listed = tokens.select(*LINE, "line", "n", parity.alias("parity"), prefix.alias("prefix"))
-    listed = listed.withColumn("known", F.size(F.filter("prefix", lambda t: t < long)))
-    last = F.when(F.col("known") < F.size("prefix"), F.lit(long)).otherwise(F.element_at("prefix", -1))
-    return listed.withColumn("limit", F.shiftright(last, 20).cast("int"))
+    every = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
+    half = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(shiftright(t, 6) & 1L, cast(t & 63L as int)))")
+    size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
+    known = F.filter(F.slice("tokens", 1, size), lambda t: t < long)
+    listed = tokens.select(*LINE, "line", "tokens", "n", every.alias("p"), F.when(F.col("n") >= WIDE, half).alias("q"), size.alias("size"), known.alias("known"))
+    n, short = F.col("n"), F.size("known")
+    top = F.expr("shiftleft(1, length(bin(n)))")  # the next power of two
+    longest = F.floor(5 * n / 4).cast("int")  # that may match
+    differ = lambda m: F.floor((n + m) / 9).cast("int")
+    others = F.slice("tokens", short + 1, n - short)
+    groups = F.concat(
+        F.when(n >= TINY, _groups(others, top, differ(F.least(longest, top - 1)) - short + 1)).otherwise(F.array().cast("array<long>")),
+        F.when((n >= TINY) & (longest >= top), _groups(others, 2 * top, differ(longest) - short + 1)).otherwise(F.array().cast("array<long>")),
+        F.when(n <= TINY, _tiny(F.col("tokens"), n)).otherwise(F.array().cast("array<long>")),
+    )
+    return listed.select(*LINE, "line", "n", "p", "q", F.when(short < F.col("size"), F.concat("known", groups)).otherwise(F.col("known")).alias("prefix"))
 
 
 def _listed(lines: DataFrame) -> DataFrame:
-    """A row for each token in a line's prefix."""
-    return lines.select(*LINE, "n", "parity", "known", "limit", F.posexplode("prefix").alias("i", "token"))
+    """A row for each token or group that a line is listed under."""
+    return lines.select(*LINE, "n", "p", "q", F.posexplode("prefix").alias("i", "token"))
+
+
+def _group_sizes(lines: DataFrame) -> DataFrame:
+    """The magnitudes of groups' slots."""
+    return _sizes(lines.select(F.explode("prefix").alias("w")).where(F.col("w") >= GROUP), 0)
+
+
+def _with_sizes(listed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``size``: the magnitude of a group's list, and 0 of a token's."""
+    size = F.when(F.col("token") >= GROUP, _size(F.col("sizes"), F.col("token"))).otherwise(F.lit(0).cast("long"))
+    return listed.withColumn("sizes", sizes.scalar()).select(*listed.columns, size.cast("int").alias("size"))
 
 
-def _pairs(rows: DataFrame, counted: bool = False) -> DataFrame:
+def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs of a line ``x`` and an earlier one ``a``, with the number of lists that both are in.
 
-    Filters on length, position (the i-th tokens are the first in common) and parity. If ``counted``,
-    rows are of all short lists: then, of the tokens up to the lower of the two limits, just as many
-    are in common as there are lists, and a pair goes whose other tokens would not make up for the rest.
+    Filters on length, position (the i-th tokens are the first in common) and parity.
     """
     n, m, i, j = F.col("x.n"), F.col("a.n"), F.col("x.i"), F.col("a.i")
     earlier = (F.col("a.doc_id") < F.col("x.doc_id")) | ((F.col("a.doc_id") == F.col("x.doc_id")) & (F.col("a.line_no") < F.col("x.line_no")))
     length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
-    position = 9 * F.least(n - i, m - j) >= 4 * (n + m)
-    parity = 9 * F.bit_count(F.col("x.parity").bitwiseXOR(F.col("a.parity"))) <= n + m
+    position = (F.col("x.token") >= GROUP) | (9 * F.least(n - i, m - j) >= 4 * (n + m))
+    p, q = F.col("x.p").bitwiseXOR(F.col("a.p")), F.col("x.q").bitwiseXOR(F.col("a.q"))
+    parity = 9 * F.coalesce(F.bit_count(p.bitwiseXOR(q)) + F.bit_count(q), F.bit_count(p)) <= n + m
     key = [F.col(f"x.{c}").alias(c) for c in LINE] + [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")]
-    good = rows.where(earlier & length & parity)
-    if not counted:
-        return good.where(position).groupBy(*key).agg(F.count("*").alias("shared"))
-    mine, other = n - F.col("x.known"), m - F.col("a.known")
-    lower = F.when(F.col("x.limit") < F.col("a.limit"), mine).when(F.col("x.limit") > F.col("a.limit"), other).otherwise(F.greatest(mine, other))
-    wanted = good.select(*key, (4 * (n + m) - 9 * lower).alias("wanted"), position.alias("position"))
-    agreed = wanted.groupBy(*LINE, "a_doc", "a_line").agg(F.count("*").alias("shared"), F.max("wanted").alias("wanted"), F.max("position").alias("position"))
-    return agreed.where("position and 9 * shared >= wanted").select(*LINE, "a_doc", "a_line", "shared")
+    return rows.where(earlier & length & position & parity).groupBy(*key).agg(F.count("*").alias("shared"))
 
 
-def _in_short_lists(lines: DataFrame, long: int) -> DataFrame:
+def _in_short_lists(listed: DataFrame) -> DataFrame:
     """Pairs in lists that are not long. Both sides are one and the same shuffle."""
-    listed = _listed(lines).where(F.col("token") < long)
-    x, a = listed.alias("x"), listed.alias("a")
-    return _pairs(x.join(a, F.col("x.token") == F.col("a.token")), counted=True)
+    short = listed.where(F.col("size") <= GROUP_LIST_BITS).drop("size")
+    return _pairs(short.alias("x").join(short.alias("a"), F.col("x.token") == F.col("a.token")))
 
 
-def _with_heads(lines: DataFrame, long: int) -> DataFrame:
+def _with_heads(listed: DataFrame) -> DataFrame:
     """Pairs in parts of long lists: of a line with the part's head, and with the few lines just before it there."""
-    part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(cast(shiftright(token, {HASH_BITS}) as int) - {PART_BITS}, 0)))")
+    part = F.expr(f"pmod(xxhash64(token, doc_id, line_no), shiftleft(1L, greatest(size - {PART_BITS}, 0)))")
     in_part = Window.partitionBy("token", "part").orderBy(*LINE)
-    entry = F.struct(*LINE, "n", "i", "parity")
+    entry = F.struct(*LINE, "n", "i", "p", "q")
     head = F.first(entry).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = F.array(head, *[F.lag(entry, k).over(in_part) for k in range(1, BEFORE + 1)])
-    return _pairs(_listed(lines).where(F.col("token") >= long).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
+    return _pairs(listed.where(F.col("size") > GROUP_LIST_BITS).withColumn("part", part).withColumn("others", others).withColumn("a", F.explode("others")).where("a is not null").alias("x"))
 
 
-def _in_long_lists(lines: DataFrame, settled: DataFrame, long: int, share: int) -> DataFrame:
+def _in_long_lists(listed: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of an unsettled line and any earlier one in one of its long lists."""
-    mine = (F.col("token") >= long) & (F.pmod("token", F.lit(SHARES)) == share)
-    x, a = _listed(lines.join(settled, LINE, "left_anti")).where(mine).alias("x"), _listed(lines).where(mine).alias("a")
+    long = listed.where(F.col("size") > GROUP_LIST_BITS).drop("size")
+    x, a = long.join(settled, LINE, "left_anti").alias("x"), long.alias("a")
     return _pairs(x.join(a, F.col("x.token") == F.col("a.token")))
 
 
@@ -174,9 +258,12 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     Each line's likeliest pair is tried first, and the others only if that one fails.
     """
-    wanted = pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct()
+    wanted = durable_table(pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct(), "lines-wanted")
+    place = F.xxhash64(*LINE)
+    marks = durable_table(_sizes(wanted.select(place.alias("w")), 0), "lines-marks")  # most lines are not wanted, and need not move
+    marked = lines.select(*LINE, "line").withColumn("sizes", marks.scalar()).where(_size(F.col("sizes"), place) > 0)
     hashes = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
-    found = durable_table(lines.select(*LINE, "line").join(wanted, LINE, "left_semi").select(*LINE, hashes.alias("a")), "lines-compared")
+    found = durable_table(marked.join(wanted, LINE, "left_semi").select(*LINE, hashes.alias("a")), "lines-compared")
     other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("a").alias("b"))
     similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
 
@@ -187,7 +274,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     likeliest = pairs.groupBy(*LINE).agg(F.max(F.struct("shared", "a_doc", "a_line")).alias("a")).select(*LINE, "a.a_doc", "a.a_line")
     first = matched(likeliest)
     rest = matched(pairs.join(first, LINE, "left_anti"))
-    discard(found)
+    discard(found, wanted, marks)
     return first.union(rest)
 
 
@@ -196,13 +283,15 @@ def kept_lines(texts: DataFrame) -> DataFrame:
     rarity = durable_table(_rarity(texts), "lines-rarity")
     long = _long_from(texts)
     lines = durable_table(_distinct(_lines(texts), rarity, long), "lines-distinct")
-    near = _in_short_lists(lines, long).union(_with_heads(lines, long)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
+    sizes = durable_table(_group_sizes(lines), "lines-sizes")
+    listed = _with_sizes(_listed(lines), sizes)
+    near = _in_short_lists(listed).union(_with_heads(listed)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
     near = durable_table(near, "lines-near")
     settled = _verified(near, lines)
-    shares = [durable_table(_in_long_lists(lines, settled, long, k), "lines-rest") for k in range(SHARES)]
-    more = _verified(reduce(DataFrame.union, shares).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared")), lines)
+    rest = durable_table(_in_long_lists(listed, settled), "lines-rest")
+    more = _verified(rest, lines)
     kept = durable_table(lines.select(*LINE).join(settled.union(more), LINE, "left_anti").distinct(), "lines-kept")
-    discard(rarity, lines, near, *shares)
+    discard(rarity, lines, sizes, near, rest)
     return kept
 
 
