@@ -133,3 +133,20 @@ def test_unrelated_long_lines_make_no_pairs(spark):
     found = lines.durable_table(lines._distinct(lines._lines(texts), lines.durable_table(rarity, "test-rarity"), long), "test-lines")
     listed = lines._with_sizes(lines._listed(found), lines.durable_table(lines._group_sizes(found), "test-sizes"))
     assert lines._in_short_lists(listed).count() + lines._with_heads(listed).count() < 300  # 44,850 pairs there are
+
+
+def test_words_are_as_frequent_as_different_lines_have_them(spark):
+    """300 copies of a line are one line: its words do not count as frequent; magnitudes take a byte each."""
+    texts = lines._texts(frame(spark, [(i, "a b a c\n" + " ".join(["d", f"e{i}"])) for i in range(300)]))
+    rarity = lines._rarity(texts)
+    assert rarity.schema["sizes"].dataType.elementType.simpleString() == "tinyint"
+    sizes = sorted(rarity.first()["sizes"])
+    assert sizes[-2:] == [1, 9] or sizes[-2:] == [2, 9]  # d alone is in 300 lines; two words may share a slot
+
+
+def test_prefixes_are_made_without_texts(spark):
+    """Lines are split into words once, when they are first read; a prefix is made of the hashes."""
+    texts = lines._texts(frame(spark, [(1, "a b\tc  a"), (2, "\t \r"), (3, " b ")]))
+    found = lines._lines(texts)
+    assert "line" not in found.columns
+    assert {(r.doc_id, len(r.words)) for r in found.collect()} == {(1, 3), (3, 1)}

@@ -51,11 +51,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEAN, before)
 
 
-def durable_table(df: DataFrame, name: str) -> DataFrame:
+def durable_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Like :func:`durable`, as compressed Parquet: for wide or text-heavy rows. Its shuffle files go, and :func:`discard` takes it away."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table

@@ -51,6 +51,10 @@ from pyspark.sql import functions as F
 from tidegauge.llm._shared import discard, durable_table, masked, without
 
 SLOT_BITS = 18
+#: Of words, of which there are more than of other keys.
+WORD_SLOT_BITS = 20
+#: Hashes of words repeat, so a file's dictionary may be larger than Parquet's 1 MB before plain numbers take its place.
+DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
 HASH_BITS = 37
 #: Tokens have long lists from a 2 ** -SHARE_BITS share of all words on, but never under the first nor over the second of these powers of two.
 SHARE_BITS, LIST_BITS = 15, (6, 9)
@@ -76,43 +80,59 @@ def _tabs(text: str) -> Column:
 
 
 def words_of(line: str) -> Column:
-    """The words of a line that has any; only lines with other white space than single spaces are rewritten first."""
-    plain = F.when(_tabs(line) | F.contains(F.col(line), F.lit("  ")), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(F.col(line))
-    return F.split(F.trim(plain), " ")
+    """The words of a line, and empty ones where white space stands together; only lines with other white space than spaces are rewritten first."""
+    return F.split(F.when(_tabs(line), F.translate(line, "\t\r", "  ")).otherwise(F.col(line)), " ")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
 
+def _placed(texts: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, line)`` of all lines with words."""
+    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HAS_WORDS))
+
+
 def _lines(texts: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line)`` of all lines with words, and 128 bits of hash."""
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HAS_WORDS))
-    return lines.select(*LINE, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
+    """``(doc_id, line_no, words)`` of each different line, where it stands first: 64-bit hashes of its distinct words.
+
+    Texts are split into words here alone; whatever follows reads the hashes.
+    """
+    hashed = _placed(texts).select(*LINE, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
+    once = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("at"), F.first("line").alias("line")).select("at.*", "line")
+    words = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
+    return once.select(*LINE, F.array_remove(words, F.xxhash64(F.lit(""))).alias("words"))
 
 
-def _slot(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+def _slot(key: Column) -> Column:
+    return F.hash(key).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
-def _sizes(keys: DataFrame, shift: int) -> DataFrame:
-    """One row, one array: for each slot, the order of magnitude of how often its ``keys(w)`` occur, above ``shift`` bits."""
-    every = keys.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
-    counts = keys.select(_slot(F.col("w")).alias("slot"), F.lit(1).alias("one")).union(every).groupBy("slot").agg(F.sum("one").alias("n"))
+def _word_slot(word: Column) -> Column:
+    """Of a word's hash, whose lowest bits do."""
+    return word.bitwiseAND(F.lit((1 << WORD_SLOT_BITS) - 1).cast("long")).cast("int")
+
+
+def _sizes(slots: DataFrame, bits: int) -> DataFrame:
+    """One row, one array of bytes: for each of ``2 ** bits`` slots, the order of magnitude of how often it is in ``slots(slot)``."""
+    every = slots.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
+    counts = slots.select("slot", F.lit(1).alias("one")).union(every).groupBy("slot").agg(F.sum("one").alias("n"))
     magnitude = F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("long") + 1).otherwise(F.lit(0).cast("long"))
     placed = counts.select(F.shiftleft(F.col("slot").cast("long"), 8).bitwiseOR(magnitude).alias("x"))
-    return placed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.shiftleft(x.bitwiseAND(F.lit(255).cast("long")), shift)).alias("sizes"))
+    return placed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.bitwiseAND(F.lit(127).cast("long")).cast("byte")).alias("sizes"))
+
+
+def _size(sizes: Column, slot: Column) -> Column:
+    return F.coalesce(F.get(sizes, slot), F.lit(0).cast("byte")).cast("long")
 
 
-def _size(sizes: Column, key: Column) -> Column:
-    return F.coalesce(F.get(sizes, _slot(key)), F.lit(0).cast("long"))  # never null, so arrays of keys sort as plain numbers
+def _frequencies(lines: DataFrame) -> DataFrame:
+    """The magnitudes of words' slots: how many different lines have them."""
+    return _sizes(lines.select(F.explode("words").alias("w")).select(_word_slot(F.col("w")).alias("slot")), WORD_SLOT_BITS)
 
 
 def _rarity(texts: DataFrame) -> DataFrame:
-    """The magnitudes of tokens' slots, above the 37 bits of a hash."""
-    lines = F.replace("text", F.lit("\n"), F.lit(" "))
-    words = texts.select(F.explode(F.split(F.when(_tabs("text"), F.translate("text", "\n\t\r", "   ")).otherwise(lines), " ")).alias("w"))  # apart as words_of has them
-    return _sizes(words, HASH_BITS)
+    return _frequencies(_lines(texts))
 
 
 def _long_from(texts: DataFrame) -> int:
@@ -167,25 +187,24 @@ def _tiny(tokens: Column, n: Column) -> Column:
 
 
 def _distinct(lines: DataFrame, rarity: DataFrame, long: int) -> DataFrame:
-    """``(doc_id, line_no, line, n, p, q, prefix)`` of each different line, where it stands first.
+    """``(doc_id, line_no, n, p, q, prefix)`` of each different line.
 
     A token is a number of 44 bits, as many as lists need: its magnitude, then its hash. The array of
     magnitudes is a scalar, not a column of each row. ``prefix`` has tokens with short lists, then keys
     of groups if it would have had others; ``p`` is the parity of all over 64 slots, ``q`` of half of them.
     """
-    once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("at"), F.first("line").alias("line")).select("at.*", "line")
 
     def key(w: Column) -> Column:
-        return _size(F.col("sizes"), w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+        size = F.get(F.col("sizes"), _word_slot(w)).cast("long")
+        return F.coalesce(F.shiftleft(size, HASH_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - HASH_BITS)), F.lit(0).cast("long"))  # never null, so keys sort as plain numbers
 
-    sized = once.withColumn("sizes", rarity.scalar())
-    tokens = sized.select(*LINE, "line", F.sort_array(F.array_distinct(F.transform(words_of("line"), key))).alias("tokens"))
+    tokens = lines.withColumn("sizes", rarity.scalar()).select(*LINE, F.sort_array(F.transform("words", key)).alias("tokens"))
     tokens = tokens.withColumn("n", F.size("tokens"))
     every = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     half = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(shiftright(t, 6) & 1L, cast(t & 63L as int)))")
     size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     known = F.filter(F.slice("tokens", 1, size), lambda t: t < long)
-    listed = tokens.select(*LINE, "line", "tokens", "n", every.alias("p"), F.when(F.col("n") >= WIDE, half).alias("q"), size.alias("size"), known.alias("known"))
+    listed = tokens.select(*LINE, "tokens", "n", every.alias("p"), F.when(F.col("n") >= WIDE, half).alias("q"), size.alias("size"), known.alias("known"))
     n, short = F.col("n"), F.size("known")
     top = F.expr("shiftleft(1, length(bin(n)))")  # the next power of two
     longest = F.floor(5 * n / 4).cast("int")  # that may match
@@ -196,7 +215,7 @@ def _distinct(lines: DataFrame, rarity: DataFrame, long: int) -> DataFrame:
         F.when((n >= TINY) & (longest >= top), _groups(others, 2 * top, differ(longest) - short + 1)).otherwise(F.array().cast("array<long>")),
         F.when(n <= TINY, _tiny(F.col("tokens"), n)).otherwise(F.array().cast("array<long>")),
     )
-    return listed.select(*LINE, "line", "n", "p", "q", F.when(short < F.col("size"), F.concat("known", groups)).otherwise(F.col("known")).alias("prefix"))
+    return listed.select(*LINE, "n", "p", "q", F.when(short < F.col("size"), F.concat("known", groups)).otherwise(F.col("known")).alias("prefix"))
 
 
 def _listed(lines: DataFrame) -> DataFrame:
@@ -206,12 +225,12 @@ def _listed(lines: DataFrame) -> DataFrame:
 
 def _group_sizes(lines: DataFrame) -> DataFrame:
     """The magnitudes of groups' slots."""
-    return _sizes(lines.select(F.explode("prefix").alias("w")).where(F.col("w") >= GROUP), 0)
+    return _sizes(lines.select(F.explode("prefix").alias("w")).where(F.col("w") >= GROUP).select(_slot(F.col("w")).alias("slot")), SLOT_BITS)
 
 
 def _with_sizes(listed: DataFrame, sizes: DataFrame) -> DataFrame:
     """``size``: the magnitude of a group's list, and 0 of a token's."""
-    size = F.when(F.col("token") >= GROUP, _size(F.col("sizes"), F.col("token"))).otherwise(F.lit(0).cast("long"))
+    size = F.when(F.col("token") >= GROUP, _size(F.col("sizes"), _slot(F.col("token")))).otherwise(F.lit(0).cast("long"))
     return listed.withColumn("sizes", sizes.scalar()).select(*listed.columns, size.cast("int").alias("size"))
 
 
@@ -260,10 +279,9 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     wanted = durable_table(pairs.select(*LINE).union(pairs.select(F.col("a_doc"), F.col("a_line"))).distinct(), "lines-wanted")
     place = F.xxhash64(*LINE)
-    marks = durable_table(_sizes(wanted.select(place.alias("w")), 0), "lines-marks")  # most lines are not wanted, and need not move
-    marked = lines.select(*LINE, "line").withColumn("sizes", marks.scalar()).where(_size(F.col("sizes"), place) > 0)
-    hashes = F.array_distinct(F.transform(words_of("line"), lambda w: F.xxhash64(w)))
-    found = durable_table(marked.join(wanted, LINE, "left_semi").select(*LINE, hashes.alias("a")), "lines-compared")
+    marks = durable_table(_sizes(wanted.select(_slot(place).alias("slot")), SLOT_BITS), "lines-marks")  # most lines are not wanted, and need not move
+    marked = lines.withColumn("sizes", marks.scalar()).where(_size(F.col("sizes"), _slot(place)) > 0)
+    found = durable_table(marked.join(wanted, LINE, "left_semi").select(*LINE, F.col("words").alias("a")), "lines-compared")
     other = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("a").alias("b"))
     similar = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
 
@@ -280,25 +298,26 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def kept_lines(texts: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines with words that match no earlier one."""
-    rarity = durable_table(_rarity(texts), "lines-rarity")
-    long = _long_from(texts)
-    lines = durable_table(_distinct(_lines(texts), rarity, long), "lines-distinct")
-    sizes = durable_table(_group_sizes(lines), "lines-sizes")
-    listed = _with_sizes(_listed(lines), sizes)
-    near = _in_short_lists(listed).union(_with_heads(listed)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
+    lines = durable_table(_lines(texts), "lines-words", **DICTIONARY)
+    rarity = durable_table(_frequencies(lines), "lines-rarity")
+    prefixes = durable_table(_distinct(lines, rarity, _long_from(texts)), "lines-prefixes")
+    sizes = durable_table(_group_sizes(prefixes), "lines-sizes")
+    listed = _with_sizes(_listed(prefixes), sizes)
+    long = durable_table(listed.where(F.col("size") > GROUP_LIST_BITS), "lines-long")
+    near = _in_short_lists(listed).union(_with_heads(long)).groupBy(*LINE, "a_doc", "a_line").agg(F.sum("shared").alias("shared"))
     near = durable_table(near, "lines-near")
     settled = _verified(near, lines)
-    rest = durable_table(_in_long_lists(listed, settled), "lines-rest")
+    rest = durable_table(_in_long_lists(long, settled), "lines-rest")
     more = _verified(rest, lines)
     kept = durable_table(lines.select(*LINE).join(settled.union(more), LINE, "left_anti").distinct(), "lines-kept")
-    discard(rarity, lines, sizes, near, rest)
+    discard(rarity, lines, prefixes, sizes, long, near, rest)
     return kept
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines that match an earlier one."""
     texts = _texts(docs)
-    return _lines(texts).select(*LINE).distinct().join(kept_lines(texts), LINE, "left_anti")
+    return _placed(texts).select(*LINE).distinct().join(kept_lines(texts), LINE, "left_anti")
 
 
 def with_removals(docs: DataFrame) -> DataFrame:
