@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         g2 += g * g
         step = speed * g / np.sqrt(g2 + 1e-12)
         weights, bias = weights - step[:-1], bias - step[-1]
-        shared.unpersist()
+        shared.destroy()  # else the driver keeps all rounds' weights until it collects its garbage
     return weights, bias
 
 
