@@ -102,3 +102,13 @@ def test_columns_with_clashing_names_pass_through(spark):
     frame = spark.createDataFrame([(1, "fine words", "x"), (2, None, None)], "doc_id long, text string, raw string")
     got = M.with_posteriors(frame, None, np.zeros(3))
     assert {(r.doc_id, r.raw, r.tokens) for r in got.collect()} == {(1, "x", 2), (2, None, 0)}
+
+
+def test_each_rounds_weights_leave_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROUNDS", 2)
+    made, put = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(put(self, value)) or made[-1])
+    docs, labels = corpus(60)
+    frame, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    M.fit(frame, marks)
+    assert len(made) == 2 and not any(b._jbroadcast.isValid() for b in made)
