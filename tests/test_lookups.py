@@ -89,3 +89,33 @@ def test_visits_of_one_slug_are_many_tasks(spark):
     assert max(parts) < 300
     none = S.holders_at(visits.withColumn("slug", F.lit(None).cast("string")), held)
     assert [r.game_id for r in none.collect()] == [None] * 400
+
+
+def test_holders_equal_brute_force_also_without_times_and_names(spark):
+    r = random.Random(5)
+    time = lambda low, high: None if r.random() < 0.15 else r.randint(low, high)
+    visits = [(k, r.choice(["a", "a", "b", "c", "", None]), time(0, 300)) for k in range(900)]
+    held = [(r.choice(["a", "b", "", None, "unseen"]), k, time(-50, 350), time(-50, 350)) for k in range(40)]
+    held = [x for x in held if x[0] != "b" or x[2] is not None and x[2] > 40] + [("a", None, 10, 20), ("a", 99, 70, 70), ("", 98, None, None)]
+    inside = lambda at, a, b: (a is None or at is not None and at >= a) and (b is None or at is not None and at < b)
+    want = []
+    for k, slug, at in visits:
+        found = [g for s, g, a, b in held if s == slug and slug is not None and inside(at, a, b)]
+        want += [(k, slug, hours(at), g) for g in found or [None]]
+    v = spark.createDataFrame([(k, s, hours(at)) for k, s, at in visits], "c1 long, slug string, at timestamp_ntz")
+    h = spark.createDataFrame([(s, g, hours(a), hours(b)) for s, g, a, b in held], "slug string, game_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    got = S.holders_at(v, h)
+    assert got.columns == ["c1", "slug", "at", "game_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 1000
+    assert any(g is None for _, s, _, g in want if s == "b") and any(g is not None for _, _, at, g in want if at is None)
+    assert {(x.c1, x.game_id) for x in S.holders_at(v, h.where("false")).collect()} == {(k, None) for k, _, _ in visits}
+    assert S.holders_at(v.where("false"), h).collect() == []
+
+
+def test_rows_of_holders_lie_so_that_they_take_little_disk(spark, tmp_path):
+    visits = spark.range(300).selectExpr("id * 7919 AS id", "'one' AS slug", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT)) AS at")
+    held = spark.range(20_000).selectExpr("'one' AS slug", "id * 104729 AS game_id", "CAST(NULL AS timestamp_ntz) AS from_at", "CAST(NULL AS timestamp_ntz) AS to_at")
+    S.holders_at(visits, held).select("id", "slug", "game_id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert [*rows.agg(F.count("*"), F.count_distinct("id"), F.count_distinct("game_id"), F.count_distinct(F.xxhash64("id", "game_id"))).first()] == [6_000_000, 300, 20_000, 6_000_000]
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 0.5 * 6_000_000
