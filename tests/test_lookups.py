@@ -110,6 +110,8 @@ def test_holders_equal_brute_force_also_without_times_and_names(spark):
     assert any(g is None for _, s, _, g in want if s == "b") and any(g is not None for _, _, at, g in want if at is None)
     assert {(x.c1, x.game_id) for x in S.holders_at(v, h.where("false")).collect()} == {(k, None) for k, _, _ in visits}
     assert S.holders_at(v.where("false"), h).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\*\(\d+\) Generate explode", plan) and "SortMergeJoin" in plan and not re.search(r"\*\(\d+\) SortMergeJoin \[slug", plan)  # compiled, it holds all rows of a block
 
 
 def test_rows_of_holders_lie_so_that_they_take_little_disk(spark, tmp_path):
